@@ -1,0 +1,127 @@
+"""Document fingerprints: a Merkle tree over sections, paragraphs and their pieces.
+
+A text is cut into sections (after blank lines), sections into paragraphs (after
+line breaks), paragraphs into pieces (after sentence ends, at most PIECE code
+points); nothing is left out, so the pieces end to end are the text. A piece's
+digest is hashed into its paragraph's, that into its section's, that into the
+root's. Equal roots mean equal texts; where roots differ, the first differing
+branch at each level locates the edit, and the share of equal pieces is the likeness.
+
+Only DataFrame functions are used. The next document by ascending id is found in
+ranges of ids: each range also gets the first row of the range after it.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+PIECE = 32
+SECTION_END = r"(?<=\n\n)(?!\n)"
+PARAGRAPH_END = r"(?<=\n)(?!\n)"
+PIECES = rf"(?s).{{1,{PIECE - 1}}}?[.!?]\s|.{{1,{PIECE}}}"
+ROWS_PER_RANGE, MAX_RANGES = 1024, 4096
+LAST = (1 << 63) - 1
+
+
+def _cut(text: Column, at: str) -> Column:
+    return F.filter(F.split(text, at), lambda part: part != "")
+
+
+def _pieces(paragraph: Column) -> Column:
+    return F.regexp_extract_all(paragraph, F.lit(PIECES), F.lit(0))
+
+
+def _parent(kind: str, children: Column) -> Column:
+    return F.sha2(F.concat(F.lit(kind), F.array_join(children, "")), 256)
+
+
+def section_digests(text: Column) -> Column:
+    """The digest of every section, in order: an array of hexadecimal SHA-256."""
+    paragraph = lambda p: _parent("P", F.transform(_pieces(p), lambda piece: F.sha2(F.concat(F.lit("L"), piece), 256)))
+    return F.transform(_cut(text, SECTION_END), lambda s: _parent("S", F.transform(_cut(s, PARAGRAPH_END), paragraph)))
+
+
+def root_digest(sections: Column) -> Column:
+    """The root over the sections' digests: the fingerprint."""
+    return _parent("R", sections)
+
+
+def piece_set(text: Column) -> Column:
+    """The distinct leaves of the tree, as 64-bit hashes."""
+    paragraphs = F.flatten(F.transform(_cut(text, SECTION_END), lambda s: _cut(s, PARAGRAPH_END)))
+    return F.array_distinct(F.transform(F.flatten(F.transform(paragraphs, _pieces)), lambda piece: F.xxhash64(piece)))
+
+
+def likeness(one: Column, other: Column) -> Column:
+    """Twice the common leaves over all leaves of both trees: 1 for equal texts, 0 without a common piece."""
+    all_ = F.size(one) + F.size(other)
+    return F.when(all_ == 0, F.lit(1.0)).otherwise(2.0 * F.size(F.array_intersect(one, other)) / all_)
+
+
+def first_difference(one: Column, other: Column) -> Column:
+    """The number, from 1, of the first differing branch; 0 if none differs."""
+    return F.array_position(F.zip_with(one, other, lambda a, b: ~a.eqNullSafe(b)), True)
+
+
+def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row: id, text (null as empty) and next_text, the text of the next row by ascending id.
+
+    The row after the last is the first; a single row's next is itself. Rows of equal
+    ids follow each other by text; null ids come after all others.
+    """
+    rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    n = rows.count()
+    ranges = min(MAX_RANGES, max(1, -(-n // ROWS_PER_RANGE)))
+    cuts = []
+    if ranges > 1:
+        cuts = sorted(set(rows.agg(F.percentile_approx(id_col, [i / ranges for i in range(1, ranges)], 100 * ranges).alias("cuts")).first().cuts or []))
+    step = max(1, int(len(cuts) ** 0.5))
+    coarse, fine = cuts[::step], [cuts[i : i + step] for i in range(0, len(cuts), step)]
+    below = lambda array: F.size(F.filter(array, lambda c: c <= F.col(id_col)))
+    if cuts:
+        heads = F.array(*map(F.lit, coarse))
+        lists = F.array(*(F.array(*map(F.lit, f)) for f in fine))
+        top = below(heads)
+        number = F.when(top == 0, 0).otherwise((top - 1) * step + below(F.element_at(lists, F.greatest(top, F.lit(1)))))
+    else:
+        number = F.lit(0)
+    rows = rows.withColumn("_range", F.when(F.col(id_col).isNull(), len(cuts)).otherwise(number).cast("int"))
+    first = rows.groupBy("_range").agg(F.min(id_col).alias("_first")).orderBy("_range").collect()  # at most MAX_RANGES rows
+    # where each range's first rows also go: the range before; those of the first range go behind the last
+    moves = [(r._range, r._first, first[i - 1]._range, i == 0) for i, r in enumerate(first)]
+    plan = F.broadcast(docs.sparkSession.createDataFrame(moves, "_range int, _first long, _to int, _wrap boolean"))
+    rows = rows.join(plan, "_range", "left")
+    is_first = F.col(id_col).eqNullSafe(F.col("_first"))
+    place = F.coalesce(F.col(id_col), F.lit(LAST - 1))
+    own = F.struct(F.col("_range").alias("range"), place.alias("place"), F.lit(False).alias("copy"))
+    copy = F.struct(F.col("_to").alias("range"), F.when(F.col("_wrap"), F.lit(LAST)).otherwise(place).alias("place"), F.lit(True).alias("copy"))
+    rows = rows.select(id_col, "text", F.explode(F.when(is_first, F.array(own, copy)).otherwise(F.array(own))).alias("at"))
+    rows = rows.select(id_col, "text", "at.range", "at.place", "at.copy")
+    order = Window.partitionBy("range").orderBy("place", "text")
+    return rows.withColumn("next_text", F.lead("text").over(order)).filter(~F.col("copy")).select(id_col, "text", "next_text")
+
+
+def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Fingerprints of every text and of its edited text, and likenesses.
+
+    The edited text has the last floor(n_chars / 2) code points replaced by the first
+    as many (or all) of the next document's. Returns id, n_chars, edited_sha256,
+    fingerprint, edited_fingerprint, near_edited, near_next, n_sections,
+    first_edited_section (from 1; 0 if equal). Null text is empty text: no sections,
+    likeness 1 to an empty text and 0 to any other. Order among equal and null ids is
+    as with_next() says; other columns are ignored; an empty table gives none.
+    """
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    rows = with_next(docs, id_col, text_col).withColumn("n_chars", F.length("text").cast("long"))
+    rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half)))
+    rows = rows.select(
+        id_col, "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
+        section_digests(F.col("text")).alias("s"), section_digests(F.col("edited")).alias("e"),
+        piece_set(F.col("text")).alias("p"), piece_set(F.col("edited")).alias("q"), piece_set(F.col("next_text")).alias("r"),
+    )
+    return rows.select(
+        id_col, "n_chars", "edited_sha256", root_digest(F.col("s")).alias("fingerprint"), root_digest(F.col("e")).alias("edited_fingerprint"),
+        likeness(F.col("p"), F.col("q")).alias("near_edited"), likeness(F.col("p"), F.col("r")).alias("near_next"),
+        F.size("s").alias("n_sections"), first_difference(F.col("s"), F.col("e")).alias("first_edited_section"),
+    )
