@@ -76,6 +76,8 @@ def shared_keys(parts: Table, bits: int, keys_of: Callable[[pa.Array, pa.Array],
         for batch in batches:
             for part, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 short = np.unique(short_keys(keys_of(*unpack(blob.as_py())), bits))
+                if not len(short):
+                    continue
                 bucket = (short >> U64(32)).astype(np.int32)
                 names, at = np.unique(bucket, return_index=True)
                 ends = [*at[1:].tolist(), len(short)]

@@ -20,6 +20,7 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -57,20 +58,31 @@ class WordIds(dict):
         return at
 
     def learn(self) -> None:
-        """Tokenize the words first seen since the last call."""
+        """Tokenize the words first seen since the last call.
+
+        The tokenizer parts letters from other characters and puts them in lower case,
+        so a word closed by one full stop or comma after an ASCII letter has the ids of
+        its stem and of the sign, and ASCII case doesn't matter.
+        """
         if not self.new:
             return
+        stems, signs = {}, []
+        for word in self.new:
+            cut = len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122
+            stems.setdefault(word[:-1] if cut else word, len(stems))
+            signs.append(word[-1:] if cut else b"")
+        todo = [*stems, b".", b","]
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        starts, lengths, flat, at = [self.starts], [self.lengths], [self.flat], len(self.flat)
-        for i in range(0, len(self.new), 20_000):
-            found = [x.ids for x in encode([w.decode("utf-8") for w in self.new[i : i + 20_000]], add_special_tokens=False)]
-            n = np.fromiter(map(len, found), np.int64, len(found))
-            flat.append(np.fromiter((t for ids in found for t in ids), np.uint32, int(n.sum())))
-            starts.append(at + np.cumsum(n) - n)
-            lengths.append(n)
-            at += int(n.sum())
+        ids: list[list[int]] = []
+        for i in range(0, len(todo), 20_000):
+            ids += [x.ids for x in encode([w.decode("utf-8") for w in todo[i : i + 20_000]], add_special_tokens=False)]
+        sign = {b"": [], b".": ids[-2], b",": ids[-1]}
+        found = [ids[stems[w[:-1] if s else w]] + sign[s] for w, s in zip(self.new, signs, strict=True)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
+        self.lengths = np.concatenate([self.lengths, n])
+        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))])
         self.new = []
-        self.starts, self.lengths, self.flat = np.concatenate(starts), np.concatenate(lengths), np.concatenate(flat)
 
     def encode(self, data: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows end to end, each row's closed by end_id; row borders)."""
@@ -78,7 +90,8 @@ class WordIds(dict):
             self.reset()
         raw, n_words, at = data.tobytes(), np.zeros(len(offs) - 1, np.int64), []
         for i in range(len(offs) - 1):
-            words = raw[offs[i] : offs[i + 1]].split()
+            whole = raw[offs[i] : offs[i + 1]]
+            words = (whole if b"<|" in whole else whole.lower()).split()  # special strings are told by case
             n_words[i] = len(words)
             at.append(np.fromiter(map(self.__getitem__, words), np.int64, len(words)))
         self.learn()

@@ -183,7 +183,7 @@ class Contexts:
     def lists(self) -> Iterator[tuple[int, int, int]]:
         """(bucket, first, end) of each bucket's contexts."""
         names, start = np.unique(self.bucket, return_index=True)
-        yield from zip(names.tolist(), start.tolist(), [*start[1:].tolist(), len(self.bucket)], strict=True)
+        yield from zip(names.tolist(), start.tolist(), [*start[1:].tolist(), len(self.bucket)], strict=False)
 
 
 def radix_groups(window: np.ndarray, group: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -216,13 +216,9 @@ def window_minima(rows: np.ndarray, least: np.ndarray, depth: int) -> tuple[np.n
     owner, place = np.repeat(many, size), ragged(first[many], size)
     value = least[owner].copy()
     order = np.argsort(group[owner] * width + place, kind="stable")
-    step = 1 << 17
-    lo = 0
+    tag, step, lo = group[owner[order]], 1 << 17, 0
     while lo < len(order):  # slices that end between groups
-        hi = min(lo + step, len(order))
-        tag = group[owner[order]] if lo == 0 else tag  # noqa: F821
-        while hi < len(order) and tag[hi] == tag[hi - 1]:
-            hi = min(hi + 4096, len(order)) if hi + 4096 < len(order) and tag[hi + 4096] == tag[hi] else hi + 1
+        hi = int(np.searchsorted(tag, tag[min(lo + step, len(order)) - 1], side="right"))
         at = order[lo:hi]
         window = rows[owner[at][:, None], place[at][:, None] + np.arange(depth)]
         alive, found = radix_groups(window, _group([group[owner[at]], place[at]]), depth)
