@@ -97,9 +97,9 @@ def format_chat(events: DataFrame, tools: dict[str, dict[str, Any]]) -> DataFram
     with one id the earliest counts. Other columns are ignored; no events give none.
     """
     key = ["conv_id", "call_id"]
+    events = events.select("conv_id", "turn", "role", "kind", "call_id", "name", "arguments", "content")
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     usable = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull() & (F.col("call_id") != "")
-    needs = F.regexp_extract_all(F.coalesce("arguments", F.lit("")), F.lit(r'"\$result"\s*:\s*"([^"]+)"'), F.lit(1))
     first = F.min(F.struct("turn", "arguments"))
     calls = events.filter(is_call & usable).groupBy(key).agg(first.alias("c")).select(*key, F.col("c.turn").alias("call_turn"), needs_of("c.arguments").alias("needs"))
     results = events.filter(is_result & usable).groupBy(key).agg(F.min("turn").alias("result_turn"))

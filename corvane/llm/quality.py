@@ -156,14 +156,16 @@ def fit(x: np.ndarray, y: np.ndarray) -> Trees:
 
 
 def _mapped(docs: DataFrame, keep: list[str], text_col: str, make, shape: str) -> DataFrame:
+    place = keep.index(text_col) if text_col in keep else len(keep)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            parts = [make(statistics(data, offs)) for _, _, data, offs in blocks(text_array(batch.column(len(keep))))]
+            parts = [make(statistics(data, offs)) for _, _, data, offs in blocks(text_array(batch.column(place)))]
             if parts:
                 yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.concat_arrays([p[i] for p in parts]) for i in range(len(parts[0])))], names=[*keep, *(f"_{i}" for i in range(len(parts[0])))])
 
     kinds = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*keep, text_col).mapInArrow(run, f"{kinds}, {shape}")
+    return docs.select(*dict.fromkeys([*keep, text_col])).mapInArrow(run, f"{kinds}, {shape}")
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Trees:
