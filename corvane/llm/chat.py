@@ -18,18 +18,19 @@ from pyspark.sql import functions as F
 from corvane.llm.shared import Table
 
 #: VARIANT type names of JSON's types.
-TYPES = {"string": "STRING", "boolean": "BOOLEAN", "integer": "BIGINT", "number": "BIGINT|DOUBLE|DECIMAL.*|FLOAT", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
+TYPES = {"string": "STRING", "boolean": "BOOLEAN", "number": "BIGINT|DOUBLE|DECIMAL.*|FLOAT", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
 
 
 def valid_against(value: Column, schema: dict[str, Any]) -> Column:
     """Whether a VARIANT meets a schema of type, enum, minimum, maximum, minLength, maxLength, required, properties, additionalProperties and items. Never null; a missing value fails."""
     checks = [value.isNotNull()]
     kind = F.coalesce(F.schema_of_variant(value), F.lit(""))
-    if "type" in schema:
-        names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        checks.append(kind.rlike("^(" + "|".join(TYPES[n] for n in names) + ")$"))
     number, text = F.try_variant_get(value, "$", "double"), F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
     numeric = kind.rlike(f"^({TYPES['number']})$")
+    if "type" in schema:
+        names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
+        fits = kind.rlike("^(" + "|".join(TYPES[n] for n in names if n != "integer") + ")$") & (kind != "")
+        checks.append(fits | (numeric & F.coalesce(number == F.floor(number), F.lit(False))) if "integer" in names else fits)
     for key, test in (("minimum", lambda b: number >= b), ("maximum", lambda b: number <= b)):
         if key in schema:
             checks.append(~numeric | F.coalesce(test(F.lit(float(schema[key]))), F.lit(False)))

@@ -108,7 +108,7 @@ def linked_pairs(index: Index, centre: np.ndarray, probe: np.ndarray, stored: np
         a, b = np.nonzero(np.sqrt(square) <= radius + left[None] + SLACK)
         for s in range(0, len(a), 1 << 16):
             p, q = a[s : s + (1 << 16)], b[s : s + (1 << 16)]
-            near = (x[p] * stored[q]).sum(1) >= least - 1e-12
+            near = (x[p] * stored[q]).sum(1) >= least
             out_a.append(p[near] + lo)
             out_b.append(q[near])
     join = lambda v: np.concatenate(v) if v else np.zeros(0, np.int64)
@@ -217,7 +217,7 @@ def link_embeddings(vectors: DataFrame, least: float = 0.98, sample: int = SAMPL
         degree = linked.df.filter("kind = 0").groupBy(F.col("x").alias("node")).agg(F.sum("y").alias("others"))
         tree = components(linked.df.filter("kind = 1").select(F.col("x").alias("u"), F.col("y").alias("v")))
         by_key = by_key.join(degree, "node", "left").join(tree.df, "node", "left")
-        by_key = Table(by_key.select("key", "first", F.coalesce("component", "node").alias("component"), (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "by-key").df
+        by_key = Table(by_key.select("key", "first", F.coalesce("component", "node").alias("component"), (F.col("times") - 1 + F.coalesce("others", F.lit(0))).alias("n_links")), "by_key").df
     else:
         by_key = by_key.select("key", "first", F.col("node").alias("component"), (F.col("times") - 1).alias("n_links"))
     best = by_key.groupBy("component").agg(F.min("first").alias("component_id"))
@@ -233,7 +233,7 @@ def _meet_plain(least: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         vectors, stored = np.stack(pdf["v"].to_list()), pdf["stored"].to_numpy()
         node, times = pdf["node"].to_numpy(), pdf["times"].to_numpy()
-        a, b = np.nonzero(vectors[~stored] @ vectors[stored].T >= least - 1e-12)
+        a, b = np.nonzero(vectors[~stored] @ vectors[stored].T >= least)
         a, weight, b = node[~stored][a], times[stored][b], node[stored][b]
         keep = a != b
         a, b, weight = a[keep], b[keep], weight[keep]
