@@ -46,7 +46,7 @@ def pack_parts(docs: DataFrame, id_col: str, text_col: str) -> Table:
                 yield pa.RecordBatch.from_arrays([pa.array([task << 20 | number]), pa.array([hi - lo]), pa.array([len(data)]), pa.array([blob], pa.binary())], names=["part", "n_rows", "n_bytes", "blob"])
                 number += 1
 
-    return Table(docs.select(id_col, text_col).mapInArrow(run, "part long, n_rows long, n_bytes long, blob binary"), "parts")
+    return Table(docs.select(id_col, text_col).mapInArrow(run, "part long, n_rows long, n_bytes long, blob binary"), "parts", bucket="part")
 
 
 def unpack(blob: bytes) -> tuple[pa.Array, pa.Array]:

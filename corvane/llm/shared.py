@@ -19,24 +19,31 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 class Table:
-    """A DataFrame written as Parquet in the shared folder: it cuts lineage, and survives lost executors."""
-
-    def __init__(self, df: DataFrame, name: str):
-        self.spark = df.sparkSession
-        self.path = f"{shared_dir(self.spark)}/{name}-{uuid.uuid4().hex}"
-        df.write.parquet(self.path)
-        self.schema = df.schema
+    """A DataFrame written as Parquet in the shared folder: it cuts lineage, and survives lost executors.
+
+    With `bucket`, it is a table in the warehouse, bucketed by that column: joins on it
+    leave its rows where they are and shuffle the other side alone.
+    """
+
+    def __init__(self, df: DataFrame, name: str, bucket: str | None = None):
+        self.spark, self.schema = df.sparkSession, df.schema
+        self.name = f"{name}_{uuid.uuid4().hex}"
+        self.bucketed = bucket is not None
+        self.path = f"{shared_dir(self.spark)}/{self.name}"
+        if self.bucketed:
+            n = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
+            df.write.format("parquet").bucketBy(n, bucket).saveAsTable(self.name)
+        else:
+            df.write.parquet(self.path)
 
     @property
     def df(self) -> DataFrame:
-        return self.spark.read.schema(self.schema).parquet(self.path)
+        return self.spark.table(self.name) if self.bucketed else self.spark.read.schema(self.schema).parquet(self.path)
 
     def drop(self) -> None:
         """Delete the files; only once nothing that is still to run reads them."""
+        if self.bucketed:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
+            return
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def shuffle_width(spark: SparkSession, nbytes: int, target: int = 8 << 20) -> int:
-    """How many groups of about `target` bytes hold `nbytes`: it follows the data, at least one."""
-    return max(1, -(-int(nbytes) // target))
