@@ -20,7 +20,6 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
-from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -34,11 +33,14 @@ from corvane.llm.textbuf import blocks, ragged, text_array
 BLOCK = 4096
 ISLANDS, POPULATION, GENERATIONS, MIGRATE = 2, 4, 8, 2
 WELL_FILLED, OPEN_BELOW = 0.99, 0.97
-CACHE = 1 << 20
+CACHE = 1 << 18
 
 
 class WordIds(dict):
-    """Token ids of words, each word tokenized once; emptied beyond CACHE words."""
+    """Token ids of words, each word tokenized once while it stays in use.
+
+    Of words beyond CACHE those not asked for since the last such moment are forgotten.
+    """
 
     def __init__(self, path: str):
         super().__init__()
@@ -46,48 +48,67 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.reset()
-
-    def reset(self) -> None:
-        self.clear()
-        self.new, self.starts, self.lengths, self.flat = [], np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
+        self.old: dict[bytes, int] = {}
+        self.new: list[bytes] = []
+        self.starts, self.lengths, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint32)
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = at = len(self)
-        self.new.append(word)
+        at = self.old.get(word)
+        if at is None:
+            at = len(self.starts) + len(self.new)
+            self.new.append(word)
+        self[word] = at
         return at
 
+    def forget(self) -> None:
+        """Keep only the words asked for since the last call, as the older generation."""
+        at = np.fromiter(self.values(), np.int64, len(self))
+        lengths = self.lengths[at]
+        self.flat = self.flat[ragged(self.starts[at], lengths)]
+        self.starts, self.lengths = np.cumsum(lengths) - lengths, lengths
+        self.old = dict(zip(self, range(len(self)), strict=True))
+        self.clear()
+
     def learn(self) -> None:
         """Tokenize the words first seen since the last call.
 
-        The tokenizer parts letters from other characters and puts them in lower case,
-        so a word closed by one full stop or comma after an ASCII letter has the ids of
-        its stem and of the sign, and ASCII case doesn't matter.
+        Many words go into one text, a null character between blanks after each: that is
+        a token of its own, so it tells where a word's ids end. Words that hold one, or
+        a part of a special string, are tokenized alone. ASCII case doesn't matter to
+        the tokenizer.
         """
         if not self.new:
             return
-        stems, signs = {}, []
-        for word in self.new:
-            cut = len(word) > 1 and word[-1] in b".," and 97 <= word[-2] <= 122
-            stems.setdefault(word[:-1] if cut else word, len(stems))
-            signs.append(word[-1:] if cut else b"")
-        todo = [*stems, b".", b","]
         encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        ids: list[list[int]] = []
-        for i in range(0, len(todo), 20_000):
-            ids += [x.ids for x in encode([w.decode("utf-8") for w in todo[i : i + 20_000]], add_special_tokens=False)]
-        sign = {b"": [], b".": ids[-2], b",": ids[-1]}
-        found = [ids[stems[w[:-1] if s else w]] + sign[s] for w, s in zip(self.new, signs, strict=True)]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        self.starts = np.concatenate([self.starts, len(self.flat) + np.cumsum(n) - n])
-        self.lengths = np.concatenate([self.lengths, n])
-        self.flat = np.concatenate([self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))])
+        (end,) = self.tokenizer.encode("\0", add_special_tokens=False).ids
+        starts, lengths, flat, at = [self.starts], [self.lengths], [self.flat], len(self.flat)
+        for i in range(0, len(self.new), 16384):
+            words = self.new[i : i + 16384]
+            alone = [k for k, w in enumerate(words) if b"\0" in w or b"<|" in w]
+            whole = [*words]
+            for k in alone:
+                whole[k] = b""
+            texts = [(b" \0 ".join(whole[k : k + 512]) + b" \0").decode("utf-8") for k in range(0, len(whole), 512)]
+            ids = np.concatenate([np.array(x.ids, np.uint32) for x in encode(texts, add_special_tokens=False)])
+            stop = np.flatnonzero(ids == end)
+            n = np.diff(stop, prepend=-1) - 1
+            begin = stop - n
+            if alone:
+                found = [np.array(x.ids, np.uint32) for x in encode([words[k].decode("utf-8") for k in alone], add_special_tokens=False)]
+                n[alone] = [len(x) for x in found]
+                begin[alone] = len(ids) + np.cumsum(n[alone]) - n[alone]
+                ids = np.concatenate([ids, *found])
+            starts.append(at + begin)
+            lengths.append(n)
+            flat.append(ids)
+            at += len(ids)
         self.new = []
+        self.starts, self.lengths, self.flat = np.concatenate(starts), np.concatenate(lengths), np.concatenate(flat)
 
     def encode(self, data: np.ndarray, offs: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all rows end to end, each row's closed by end_id; row borders)."""
         if len(self) > CACHE:
-            self.reset()
+            self.forget()
         raw, n_words, at = data.tobytes(), np.zeros(len(offs) - 1, np.int64), []
         for i in range(len(offs) - 1):
             whole = raw[offs[i] : offs[i + 1]]
