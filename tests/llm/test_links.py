@@ -48,6 +48,20 @@ def test_embeddings_against_all_pairs(spark, monkeypatch, rows, lists):
     assert link_embeddings(empty).count() == 0
 
 
+def test_embedding_recall_in_many_dimensions(spark):
+    rng = np.random.default_rng(5)
+    data = [(r.vec_id, np.array(r.embedding, float), r.label) for r in spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()]
+    for i, v, label in data[:500]:  # three neighbours each, at cosines around the threshold
+        for k in range(3):
+            data.append((10_000 * (k + 1) + i, v + rng.normal(size=len(v)) * np.linalg.norm(v) * rng.uniform(0.05, 0.24) / len(v) ** 0.5, label))
+    rows = spark.createDataFrame([(i, v.tolist(), label) for i, v, label in data], "vec_id long, embedding array<double>, label int").repartition(8)
+    found = sum(r.n_links for r in link_embeddings(rows).collect())
+    unit = np.stack([v / np.linalg.norm(v) for _, v, _ in data])
+    label = np.array([l for *_, l in data])
+    want = int(((unit @ unit.T >= 0.98) & (label[:, None] == label)).sum()) - len(data)
+    assert want > 0 and 0.99 * want <= found <= want
+
+
 def test_fingerprints(spark):
     texts = {5: "One. Two.\n\nThree é four.\n", 9: None, 11: "", 20: "One. Two.\n\nThree é four.\n", -3: "x", 40: "long words " * 300, 41: "p\n" * 50, 70: "😀" * 99}
     rows = list(texts.items())
