@@ -7,10 +7,11 @@ Equal vectors of a label become one class first, so groups of copies cost one ro
    k-means on the driver, on at most SAMPLE classes of smallest hash. They are small
    and are broadcast; every class is indexed, whatever the sample.
 2. Each class is stored in the inverted list of its nearest centroid as a code and the
-   length of its residual's remainder. It probes each list whose cell the ball of
-   radius r around it can reach: where its distance to the plane between the two
-   centroids is at most r. These probes are sufficient: none that holds a linked
-   vector is left out.
+   length of its residual's remainder. It probes each list whose cell a linked vector
+   can be in: where its distance to the plane between the two centroids is at most
+   r * min(1, SPREAD / sqrt(dimensions)). Up to SPREAD ** 2 dimensions no link can be
+   missed; above, the part of a pair's distance along one given direction exceeds that
+   with the chance of SPREAD standard deviations. Tests measure the recall.
 3. A list meets its probes in blocks of bounded size. A table of distances from the
    probe's residual to every codeword gives the asymmetric distance to each stored
    code; pairs whose distance is over r plus the stored remainder can't link.
@@ -37,7 +38,7 @@ from corvane.llm.shared import Table
 SAMPLE = 20_000
 SUBSPACES, WORDS, ROUNDS = 8, 64, 6
 LIST_ROWS, BLOCK_ROWS = 512, 1024
-SLACK = 1e-6
+SLACK, SPREAD = 1e-6, 5.0
 
 
 @dataclass
@@ -87,7 +88,7 @@ def encode(index: Index, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def probes(index: Index, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(nearest list of each row; row and list of every sufficient probe)."""
+    """(nearest list of each row; row and list of every probe: lists with a plane within the radius)."""
     distance = (x**2).sum(1)[:, None] - 2 * x @ index.coarse.T + (index.coarse**2).sum(1)
     near = distance.argmin(1)
     apart = np.sqrt(np.maximum(((index.coarse[near][:, None] - index.coarse[None]) ** 2).sum(2), 0))
@@ -177,8 +178,9 @@ def link_embeddings(vectors: DataFrame, least: float = 0.98, sample: int = SAMPL
     if n:
         size = max(map(len, picked))
         x = unit_rows(np.array([v for v in picked if len(v) == size]))
-        index = fit_index(x, max(1, min(n // LIST_ROWS, len(x) // 8, 4096)))
-        radius = float(np.sqrt(max(0.0, 2 - 2 * least)))
+        largest = classes.df.groupBy("label").count().agg(F.max("count")).first()[0]  # links stay inside labels
+        index = fit_index(x, max(1, min(largest // LIST_ROWS, len(x) // 8, 4096)))
+        reach = float(np.sqrt(max(0.0, 2 - 2 * least))) * min(1.0, SPREAD / size**0.5)
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -190,7 +192,7 @@ def link_embeddings(vectors: DataFrame, least: float = 0.98, sample: int = SAMPL
                     for at in np.array_split(every, -(-len(every) // 512)):
                         unit = unit_rows(flat[begin[at][:, None] + np.arange(length)])
                         if unit.shape[1] == index.coarse.shape[1] and length == size:
-                            near, who, where = probes(index, unit, radius)
+                            near, who, where = probes(index, unit, reach)
                         else:  # another length: one list of its own, which its own kind probes
                             near, who, where = np.full(len(at), -length), np.arange(len(at)), np.full(len(at), -length)
                         row = np.concatenate([np.arange(len(at)), who])
