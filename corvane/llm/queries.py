@@ -11,6 +11,7 @@ from corvane.llm.embed_dedup import link_embeddings
 from corvane.llm.fingerprint import fingerprint_documents
 from corvane.llm.mixing import mix_sources
 from corvane.llm.ngram_join import jaccard_components
+from corvane.llm.oracles import ORACLES
 from corvane.llm.packing import pack_sequences
 from corvane.llm.quality import score_documents, train
 from corvane.llm.secret_scan import scan_secrets
@@ -85,4 +86,5 @@ QUERIES = {
         op10_suffix_array_dedup,
     )
 }
-ORACLES: dict[str, str] = {}
+
+__all__ = ["ORACLES", "QUERIES", "is_held_out"]
