@@ -59,29 +59,31 @@ def valid_against(value: Column, schema: dict[str, Any]) -> Column:
 def call_levels(calls: DataFrame) -> DataFrame:
     """(conv_id, call_id, level) of the calls that (conv_id, call_id, needs array<string>) lists once each.
 
-    A need that is no call of the conversation is ignored. Calls on or behind a cycle
-    have no level and are left out. Rounds follow the longest chain of needs.
+    Each call starts with its needs as targets, one step away; in every round a target is
+    replaced by its own targets, so steps double until all targets are calls without
+    needs, and the level is the longest way to one. A need that is no call of the
+    conversation is ignored. Calls on or behind a cycle never come to an end; they have
+    no level and are left out.
     """
-    known = calls.select("conv_id", F.col("call_id").alias("need"))
-    needs = calls.select("conv_id", "call_id", F.explode("needs").alias("need")).distinct().join(known, ["conv_id", "need"], "left_semi")
-    waiting = Table(needs, "needs")
-    level = 0
-    done = Table(calls.select("conv_id", "call_id").join(waiting.df.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti").withColumn("level", F.lit(0)), "levels")
-    parts = [done]
-    while True:
-        level += 1
-        got = done.df.select("conv_id", F.col("call_id").alias("need"))
-        left = Table(waiting.df.join(got, ["conv_id", "need"], "left_anti"), "needs")
-        ready = waiting.df.select("conv_id", "call_id").distinct().join(left.df.select("conv_id", "call_id").distinct(), ["conv_id", "call_id"], "left_anti")
-        done = Table(ready.withColumn("level", F.lit(level)), "levels")
-        waiting = left
-        if done.df.isEmpty():
+    key = ["conv_id", "call_id"]
+    known = calls.select("conv_id", F.col("call_id").alias("to"))
+    links = calls.select(*key, F.explode("needs").alias("to")).distinct().join(known, ["conv_id", "to"], "left_semi")
+    links = Table(links, "needs")
+    roots = Table(calls.select(*key).join(links.df.select(*key).distinct(), key, "left_anti"), "roots")
+    ends = roots.df.select("conv_id", F.col("call_id").alias("to"), F.lit(True).alias("end"))
+    steps = Table(links.df.join(ends, ["conv_id", "to"], "left").select(*key, "to", F.lit(1).cast("long").alias("steps"), F.coalesce("end", F.lit(False)).alias("end")), "steps")
+    most = calls.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    for _ in range(most.bit_length()):
+        going = steps.df.filter(~F.col("end"))
+        if going.isEmpty():
             break
-        parts.append(done)
-    out = parts[0].df
-    for part in parts[1:]:
-        out = out.unionByName(part.df)
-    return out
+        hop = steps.df.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("end").alias("ends"))
+        moved = going.join(hop, ["conv_id", "to"]).select(*key, F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("end"))
+        after = Table(steps.df.filter("end").unionByName(moved).groupBy(*key, "to").agg(F.max("steps").alias("steps"), F.max("end").alias("end")), "steps")
+        steps.drop()
+        steps = after
+    levels = steps.df.groupBy(*key).agg(F.max("steps").cast("int").alias("level"), F.bool_and("end").alias("_ended")).filter("_ended").drop("_ended")
+    return roots.df.withColumn("level", F.lit(0)).unionByName(levels)
 
 
 def format_chat(events: DataFrame, tools: dict[str, dict[str, Any]]) -> DataFrame:

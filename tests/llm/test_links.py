@@ -118,6 +118,14 @@ def test_chat(spark):
     assert format_chat(events.filter("turn > 99"), TOOLS).count() == 0
 
 
+def test_levels_of_long_chains_and_diamonds(spark):
+    from corvane.llm.chat import call_levels
+
+    rows = [("c", str(i), [str(i - 1)] if i else []) for i in range(70)] + [("d", "a", []), ("d", "b", ["a", "x"]), ("d", "e", ["a", "b"]), ("d", "f", ["e", "a", "b"]), ("d", "g", ["g"]), ("d", "h", ["g", "a"])]
+    got = {(r.conv_id, r.call_id): r.level for r in call_levels(spark.createDataFrame(rows, "conv_id string, call_id string, needs array<string>")).collect()}
+    assert got == {("c", str(i)): i for i in range(70)} | {("d", "a"): 0, ("d", "b"): 1, ("d", "e"): 2, ("d", "f"): 3}
+
+
 def test_validation_of_missing_values(spark):
     df = spark.createDataFrame([("{}",), ("null",), ("[1]",), ("x",), (None,)], "j string")
     kinds = df.select(valid_against(F.try_parse_json("j"), {"type": "object", "required": []}).alias("o"), valid_against(F.try_parse_json("j"), {"items": {"type": "integer"}}).alias("a")).collect()
