@@ -66,10 +66,11 @@ def short_keys(keys: np.ndarray, bits: int) -> np.ndarray:
     return mix(keys ^ U64(0x5851F42D4C957F2D)) >> U64(32 - bits)
 
 
-def shared_keys(parts: Table, bits: int, keys_of: Callable[[pa.Array, pa.Array], np.ndarray], common_parts: int = COMMON_PARTS) -> DataFrame:
+def shared_keys(parts: Table, bits: int, keys_of: Callable[[pa.Array, pa.Array], np.ndarray], common_parts: int = COMMON_PARTS, levels: bool = False) -> DataFrame:
     """(part, found): for each part with shared keys, the buckets and bit lists of its distinct short keys.
 
-    keys_of(ids, texts) gives a part's 64-bit keys, repeats allowed.
+    keys_of(ids, texts) gives a part's 64-bit keys, repeats allowed. With levels, the
+    number of parts that have a key is answered too, as a power of two.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -88,7 +89,8 @@ def shared_keys(parts: Table, bits: int, keys_of: Callable[[pa.Array, pa.Array],
     def answer(pdf: pd.DataFrame) -> pd.DataFrame:
         lists = [np.frombuffer(k, np.uint32) for k in pdf["keys"]]
         value, times = np.unique(np.concatenate(lists), return_counts=True)
-        value, often = value[times > 1], times[times > 1] > common_parts
+        value, times = value[times > 1], times[times > 1]
+        often, level = times > common_parts, np.log2(times).astype(np.uint8)
         rows = []
         for bucket, part, keys in zip(pdf["bucket"], pdf["part"], lists, strict=True):
             if len(value):
@@ -96,7 +98,8 @@ def shared_keys(parts: Table, bits: int, keys_of: Callable[[pa.Array, pa.Array],
                 hit = value[at] == keys
                 if hit.any():
                     common = hit & often[at]
-                    rows.append((bucket, part, np.packbits(hit).tobytes(), np.packbits(common).tobytes() if common.any() else None))
+                    more = level[at[hit]].tobytes() if levels else np.packbits(common).tobytes() if common.any() else None
+                    rows.append((bucket, part, np.packbits(hit).tobytes(), more))
         return pd.DataFrame(rows, columns=["bucket", "part", "bits", "common"])
 
     sent = parts.df.select("part", "blob").mapInArrow(send, "bucket int, part long, keys binary")
@@ -104,8 +107,11 @@ def shared_keys(parts: Table, bits: int, keys_of: Callable[[pa.Array, pa.Array],
     return answers.groupBy("part").agg(F.collect_list(F.struct("bucket", "bits", "common")).alias("found"))
 
 
-def read_found(found: list | None, keys: np.ndarray, bits: int) -> np.ndarray:
-    """What shared_keys() answered for each of a part's keys: 0 no other part has it, 1 some have, 2 it is common."""
+def read_found(found: list | None, keys: np.ndarray, bits: int, levels: bool = False) -> np.ndarray:
+    """What shared_keys() answered for each of a part's keys: 0 no other part has it, 1 some have, 2 it is common.
+
+    With levels: 0, or 1 + the power of two of the number of parts.
+    """
     out = np.zeros(len(keys), np.int8)
     if not found or not len(keys):
         return out
@@ -114,9 +120,12 @@ def read_found(found: list | None, keys: np.ndarray, bits: int) -> np.ndarray:
     hit = np.zeros(len(short), np.int8)
     for entry in found:
         a, b = np.searchsorted(bucket, entry["bucket"], "left"), np.searchsorted(bucket, entry["bucket"], "right")
-        for name in ("bits", "common"):
-            if entry[name] is not None:
-                hit[a:b] += np.unpackbits(np.frombuffer(entry[name], np.uint8), count=b - a).astype(np.int8)
+        some = np.unpackbits(np.frombuffer(entry["bits"], np.uint8), count=b - a).astype(np.int8)
+        if levels:
+            some[some > 0] += np.frombuffer(entry["common"], np.uint8).astype(np.int8)
+        elif entry["common"] is not None:
+            some += np.unpackbits(np.frombuffer(entry["common"], np.uint8), count=b - a).astype(np.int8)
+        hit[a:b] = some
     return hit[inverse]
 
 

@@ -3,11 +3,12 @@
 Two sets of n <= m shingles reach the threshold t only if they share at least
 c(n, m) = ceil(t (n + m) / (1 + t)) of them. Light sets (up to a size that a cost model
 chooses) list all their subsets of c(n, m) elements, for each c that a partner can
-ask for: two light sets link exactly where they list the same subset. Heavy sets are
-cut by shingle hash into so many blocks that linked sets must agree on one (of a size
-class, more blocks than two linked sets differ in); the inverted lists of blocks say
-which heavy sets can meet. An exchange of four bytes a key drops all keys that only
-one part of the table has.
+ask for: two light sets link exactly where they list the same subset. Heavy sets meet
+in inverted lists of shingles: in any order of all shingles, linked sets share one of
+their first n - ceil(t n) + 1. The order here puts a share of the shingles, picked by
+hash, first, the rarer before the more common ones; an exchange of four bytes a shingle
+of that share tells in how many parts of the table each occurs. A set whose first
+shingles occur nowhere else can't link, and enters no list.
 
 Sets that meet are gathered by group (connected keys) in bounded chunks. A chunk's
 task builds the inverted lists of its shingles and scans those of one set after the
@@ -21,7 +22,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import cache
-from math import ceil, comb, exp, floor
+from math import ceil, comb, floor
 
 import numpy as np
 import pandas as pd
@@ -30,13 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.components import components
-from corvane.llm.exchange import bucket_bits, pack_parts, read_found, shared_keys, unpack
-from corvane.llm.shared import Table
+from corvane.llm.exchange import bucket_bits, many_owners, pack_parts, read_found, shared_keys, unpack
+from corvane.llm.shared import Table, release
 from corvane.llm.textbuf import U64, blocks, mix, ragged, shingle_sets
 
 CHUNK_BYTES = 6 << 20
 #: Cost of one list entry of a heavy set against one listed subset: its scan touches the list, its set travels.
 HEAVY_ENTRY = 2.0
+SALT = U64(0x2545F4914F6CDD1D)
 EPS = 1e-9
 
 
@@ -56,36 +58,14 @@ def subset_sizes(n: int, light: int, t: float) -> tuple[tuple[int, int, int], ..
     return tuple((least_common(n, m, t), min(n, m), max(n, m)) for m in partner_sizes(n, t) if min(n, m) <= light and least_common(n, m, t) <= min(n, m) and not (n == m and least_common(n, m, t) >= n))
 
 
-@cache
-def size_class(n: int, light: int, t: float) -> tuple[int, int, int]:
-    """(number, smallest size, largest size) of the heavy size class of n: classes grow by 1 / t."""
-    number, low = 0, light + 1
-    while True:
-        high = max(low, floor(low / t + EPS))
-        if n <= high:
-            return number, low, high
-        number, low = number + 1, high + 1
-
+def prefix_size(n: int, t: float) -> int:
+    """How many first shingles of a heavy set enter lists."""
+    return n - ceil(t * n - EPS) + 1
 
-@cache
-def block_count(number: int, high: int, t: float) -> tuple[int, int]:
-    """(blocks, spare) of a size class: linked sets agree on more than `spare` blocks."""
-    differ = floor(2 * high * (1 - t) / (1 + t) + EPS)
-    spare = 2
-    while spare < 2 + ceil(3 * (count := differ + 1 + spare) * exp(-t * high / count)) and spare <= differ:
-        spare += 1
-    return differ + 1 + spare, spare
 
-
-@cache
-def heavy_classes(n: int, light: int, t: float) -> tuple[tuple[int, int, int], ...]:
-    """(class, blocks, spare) in which a heavy set takes part: its own, and the next if a partner can be in it."""
-    number, _, high = size_class(n, light, t)
-    out = [(number, *block_count(number, high, t))]
-    if floor(n / t + EPS) > high:
-        following = size_class(high + 1, light, t)
-        out.append((following[0], *block_count(following[0], following[2], t)))
-    return tuple(out)
+def first_share(t: float) -> float:
+    """The share of shingles that come first: enough that a set with some shingles of its own has all it needs among them."""
+    return min(1.0, max(0.5, 2 * (1 - t) + 0.05))
 
 
 @cache
@@ -93,7 +73,7 @@ def light_limit(t: float) -> int:
     """The largest size whose subsets cost no more than its block entries; sizes below are light too."""
     light = 0
     for n in range(1, 200):
-        if sum(comb(n, c) for c, *_ in {(c, a, b) for c, a, b in subset_sizes(n, n, t)}) > HEAVY_ENTRY * (sum(x[1] for x in heavy_classes(n, n - 1, t)) + n / 2):
+        if sum(comb(n, c) for c, *_ in {(c, a, b) for c, a, b in subset_sizes(n, n, t)}) > HEAVY_ENTRY * (prefix_size(n, t) + n / 2):
             break
         light = n
     return light
@@ -110,24 +90,14 @@ def _subset_hashes(items: np.ndarray, size: int) -> np.ndarray:
     return left
 
 
-def set_keys(items: np.ndarray, light: int, t: float) -> np.ndarray:
-    """The keys under which a set can meet others: itself, its subsets if it or a partner is light, its blocks if it is heavy."""
+def subset_keys(items: np.ndarray, light: int, t: float) -> np.ndarray:
+    """The keys of the subsets that a set lists: if it or a partner is light, and of itself."""
     n = len(items)
     scrambled = mix(items)
-    whole = scrambled.sum(dtype=U64)
     tag = lambda h, *about: mix(h + U64(hash(about) & (1 << 64) - 1))
-    keys = [tag(np.array([whole]), 1, n)]
-    for c, small, large in subset_sizes(n, light, t):
-        keys.append(np.unique(tag(_subset_hashes(scrambled, c), 2, c, small, large)))
-    if n > light:
-        for number, count, spare in heavy_classes(n, light, t):
-            block = (scrambled >> U64(32)).astype(np.int64) * count >> 32
-            total = np.zeros(count, U64)
-            np.add.at(total, block, mix(scrambled))
-            filled = np.bincount(block, minlength=count) > 0
-            at = np.arange(count) if (~filled).sum() > spare else np.flatnonzero(filled)
-            keys.append(mix(total[at] + mix((U64(number) << U64(40)) + at.astype(U64)) + U64(3)))
-    return np.concatenate(keys)
+    keys = [tag(scrambled.sum(dtype=U64, keepdims=True), 1, n)] if n <= light else []
+    keys += [np.unique(tag(_subset_hashes(scrambled, c), 2, c, small, large)) for c, small, large in subset_sizes(n, light, t)]
+    return np.concatenate(keys) if keys else np.zeros(0, U64)
 
 
 class PartSets:
@@ -139,12 +109,45 @@ class PartSets:
         self.rep = np.array([seen.setdefault(s.tobytes(), i) if len(s) else -1 for i, s in enumerate(self.sets)], np.int64)
         self.first = np.flatnonzero(self.rep == np.arange(len(self.sets)))
 
-    def keys(self, light: int, t: float) -> tuple[np.ndarray, np.ndarray]:
-        """(keys, row) of the distinct sets."""
-        lists = [set_keys(self.sets[i], light, t) for i in self.first]
-        if not lists:
-            return np.zeros(0, U64), np.zeros(0, np.int64)
-        return np.concatenate(lists), np.repeat(self.first, [len(k) for k in lists])
+    def light(self, light: int, t: float) -> tuple[np.ndarray, np.ndarray]:
+        """(keys, row) of the subsets that the distinct sets list."""
+        rows = [i for i in self.first if t * len(self.sets[i]) <= light + 1]
+        lists = [subset_keys(self.sets[i], light, t) for i in rows]
+        return np.concatenate([np.zeros(0, U64), *lists]), np.repeat(np.array(rows, np.int64), [len(k) for k in lists])
+
+    def heavy(self, light: int, t: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, row, comes first) of the shingles of the distinct heavy sets."""
+        rows = [i for i in self.first if len(self.sets[i]) > light]
+        keys = mix(np.concatenate([np.zeros(0, U64), *(self.sets[i] for i in rows)]) ^ SALT)
+        first = keys < U64(min((1 << 64) - 1, int(first_share(t) * 2.0**64)))
+        return keys, np.repeat(np.array(rows, np.int64), [len(self.sets[i]) for i in rows]), first
+
+    def exchanged(self, light: int, t: float) -> np.ndarray:
+        keys, _, first = self.heavy(light, t)
+        return np.concatenate([self.light(light, t)[0], keys[first]])
+
+    def lists(self, light: int, t: float, found: list | None, bits: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, row, may be in other parts) of the lists that the distinct sets enter."""
+        small, small_row = self.light(light, t)
+        keys, row, first = self.heavy(light, t)
+        known = read_found(found, np.concatenate([small, keys[first]]), bits, levels=True)
+        level = np.zeros(len(keys), np.int64)
+        level[first] = known[len(small) :]
+        lone = first & (level == 0)
+        level[lone] += many_owners(keys[lone], row[lone])  # in this part alone: before those of two parts
+        level[first & (level > 0) & ~lone] += 1
+        size = np.array([len(s) for s in self.sets], np.int64)
+        need = np.array([prefix_size(n, t) for n in size.tolist()], np.int64)
+        nowhere = np.bincount(row[first & (level == 0)], minlength=len(size))
+        need -= nowhere  # the rarest come first, and enter no list
+        use = np.flatnonzero((need[row] > 0) & (~first | (level > 0)))
+        order = use[np.lexsort([keys[use], level[use], ~first[use], row[use]])]
+        head = np.ones(len(order), bool)
+        head[1:] = row[order][1:] != row[order][:-1]
+        place = np.arange(len(order)) - np.maximum.accumulate(np.where(head, np.arange(len(order)), 0))
+        taken = order[place < need[row[order]]]
+        outside = np.concatenate([known[: len(small)] > 0, ~first[taken] | (level[taken] > 1)])
+        return np.concatenate([small, keys[taken]]), np.concatenate([small_row, row[taken]]), outside
 
 
 def settle(sets: list[np.ndarray], t: float, scan: np.ndarray | None = None, label: np.ndarray | None = None) -> np.ndarray:
@@ -222,8 +225,9 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8,
     """
     t, light = threshold, light_limit(threshold)
     parts = pack_parts(docs, id_col, text_col)
-    bits = bucket_bits(parts, 0.08)
-    found = Table(shared_keys(parts, bits, lambda ids, text: PartSets(ids, text, words).keys(light, t)[0]), "found")
+    bits = bucket_bits(parts, 0.18 * first_share(t))
+    found = Table(shared_keys(parts, bits, lambda ids, text: PartSets(ids, text, words).exchanged(light, t), levels=True), "found")
+    release(docs.sparkSession)
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         # kind 0: row, representative, n, id; 1: two nodes of one part that meet; 2: key and its least node in the part
@@ -233,14 +237,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8,
                 made, base = PartSets(ids, text, words), part.as_py() << 20
                 size = np.array([len(s) for s in made.sets], np.int64)
                 rows = np.arange(len(size))
-                key, row = made.keys(light, t)
+                key, row, beyond = made.lists(light, t, got.as_py(), bits)
                 order = np.lexsort([row, key])
-                key, row = key[order], row[order]
+                key, row, beyond = key[order], row[order], beyond[order]
                 head = np.ones(len(key), bool)
                 head[1:] = key[1:] != key[:-1]
                 pivot = row[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))] if len(key) else row
                 local = np.unique(np.stack([row, pivot], 1)[row != pivot], axis=0).reshape(-1, 2)
-                outside = head & (read_found(got.as_py(), key, bits) > 0)
+                outside = head & beyond
                 kind = np.repeat(np.array([0, 1, 2], np.int8), [len(rows), len(local), int(outside.sum())])
                 x = np.concatenate([base + rows, base + local[:, 0], key[outside].view(np.int64)])
                 y = np.concatenate([np.where(made.rep < 0, -1, base + made.rep), base + local[:, 1], base + row[outside]])
@@ -254,6 +258,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8,
     across = lists.join(pivots, "key").filter("node != pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
     inside = seen.df.filter("kind = 1").select(F.col("x").alias("u"), F.col("y").alias("v"))
     groups = components(inside.unionByName(across))
+    release(docs.sparkSession)
 
     size_of = seen.df.filter("kind = 0 and x = y").select(F.col("x").alias("node"), "n")
     members = groups.df.join(size_of, "node")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -47,3 +48,9 @@ class Table:
             return
         path = self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let the driver drop what it no longer refers to, so that Spark's cleaner deletes those shuffles' files now."""
+    gc.collect()
+    spark._jvm.System.gc()

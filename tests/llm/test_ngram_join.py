@@ -3,7 +3,7 @@ import random
 import pytest
 from brute import jaccard
 from corvane.llm import ngram_join
-from corvane.llm.ngram_join import jaccard_components, light_limit, set_keys, settle
+from corvane.llm.ngram_join import jaccard_components, light_limit, settle
 
 
 def got(df):
@@ -48,8 +48,9 @@ def test_groups_of_many_chunks(spark, monkeypatch):
 
 
 @pytest.mark.parametrize("t", [0.9, 0.8, 0.6])
-def test_linked_sets_share_a_key(t):
+def test_linked_sets_share_a_list(t):
     import numpy as np
+    from corvane.llm.ngram_join import PartSets
 
     rng = np.random.default_rng(3)
     light = light_limit(t)
@@ -57,12 +58,16 @@ def test_linked_sets_share_a_key(t):
     for n in [*range(1, 45), 100, 400]:
         for _ in range(6):
             a = rng.integers(1, 1 << 62, n, dtype=np.uint64)
-            b = a.copy()
             drop = rng.integers(0, int(n * (1 - t)) + 1)
-            b = np.concatenate([b[drop:], rng.integers(1, 1 << 62, rng.integers(0, drop + 2), dtype=np.uint64)])
+            b = np.concatenate([a[drop:], rng.integers(1, 1 << 62, rng.integers(0, drop + 2), dtype=np.uint64)])
             common = len(np.intersect1d(a, b))
             if common >= t * (len(a) + len(b) - common) - 1e-9:
-                assert np.intersect1d(set_keys(np.unique(a), light, t), set_keys(np.unique(b), light, t)).size
+                both = PartSets.__new__(PartSets)
+                both.sets = [np.unique(a), np.unique(b)]
+                both.rep = np.array([0, 1 if drop else 0])
+                both.first = np.unique(both.rep)
+                keys, row, _ = both.lists(light, t, None, 4)
+                assert not drop or np.intersect1d(keys[row == 0], keys[row == 1]).size, (n, drop)
                 assert len(set(settle([np.unique(a), np.unique(b)], t))) == 1
 
 
