@@ -214,11 +214,19 @@ def doc_dialect(node: Node, lines: list[str]) -> Note | None:
 DIALECTS: dict[str, Dialect] = {"block": block_dialect, "inline": inline_dialect, "file": file_dialect, "doc": doc_dialect}
 
 
-def dialects(names: list[str]) -> list[Dialect]:
-    unknown = sorted(set(names) - set(DIALECTS))
+def dialects(use: list[str | Dialect]) -> list[Dialect]:
+    """Dialects by name, or a caller's own functions, in order of priority."""
+    unknown = sorted({n for n in use if isinstance(n, str)} - set(DIALECTS))
     if unknown:
         raise KeyError(f"unknown dialects {unknown}; there are {sorted(DIALECTS)}")
-    return [DIALECTS[n] for n in names]
+    return [DIALECTS[n] if isinstance(n, str) else n for n in use]
+
+
+def root_note(lines: list[str]) -> dict:
+    """Keywords for the whole document: YAML in comments between two `# @schema.root` lines."""
+    marks = [i for i, x in enumerate(lines) if re.match(r"^\s*#\s*@schema\.root\s*$", x)]
+    body = scalar("\n".join(_bare(x) for x in lines[marks[0] + 1 : marks[1]])) if len(marks) > 1 else None
+    return body if isinstance(body, dict) else {}
 
 
 def merge_notes(notes: list[Note]) -> Note:
@@ -251,11 +259,12 @@ def description_of(above: list[str]) -> str | None:
     return " ".join(text) or None
 
 
-def yaml_schema(text: str, use: list[str] | None = None, defaults: bool = False, strict: bool = False) -> dict:
-    """The schema of a YAML text: its documents walked with their comments, then merged."""
+def yaml_schema(text: str, use: list[str | Dialect] | None = None, defaults: bool = False, strict: bool = False) -> dict:
+    """The schema of a YAML text: its documents walked with their comments, then merged, then what the comments say of the root."""
     chosen = dialects(use if use is not None else list(DIALECTS))
-    found = [_document(d, chosen, defaults, strict) for d in split_documents(clean_text(text))]
-    return merge_all(found) if found else {}
+    clean = clean_text(text)
+    found = [_document(d, chosen, defaults, strict) for d in split_documents(clean)]
+    return (merge_all(found) if found else {}) | root_note(clean.split("\n"))
 
 
 def _document(text: str, chosen: list[Dialect], defaults: bool, strict: bool) -> dict:
@@ -349,8 +358,8 @@ def _document(text: str, chosen: list[Dialect], defaults: bool, strict: bool) ->
     return walk(root, "", False, 0) if root is not None else {}
 
 
-def annotate_files(spark: SparkSession, *paths: str, use: list[str] | None = None, **options: Any) -> dict:
-    """The merged schema of YAML files: a schema for each file is made on the executors; files merge in order of their paths."""
+def annotate_files(spark: SparkSession, *paths: str, use: list[str | Dialect] | None = None, root: dict | None = None, **options: Any) -> dict:
+    """The merged schema of YAML files: a schema for each file is made on the executors; files merge in order of their paths; `root` has the last word on the root's keywords."""
     dialects(use if use is not None else list(DIALECTS))
     files = spark.read.format("binaryFile").load(list(paths)).select("path", "content")
 
@@ -365,4 +374,4 @@ def annotate_files(spark: SparkSession, *paths: str, use: list[str] | None = Non
             yield pd.DataFrame(out, columns=["path", "schema"])
 
     rows = files.mapInPandas(run, "path string, schema string").orderBy("path").toLocalIterator()
-    return {"$schema": "http://json-schema.org/draft-07/schema#"} | merge_all([parse_json(r.schema) for r in rows])
+    return {"$schema": "http://json-schema.org/draft-07/schema#"} | merge_all([parse_json(r.schema) for r in rows]) | (root or {})

@@ -14,18 +14,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.plans.evaluator import Options
-from corvane.plans.lower import Lowering, Value, as_column
+from corvane.plans.lower import VIOLATION, Lowering, Value, as_column
+
+
+def _has_long_number(column: str) -> Column:
+    """Whether JSON text holds digits that VARIANT would round, or an exponent beyond doubles."""
+    return F.coalesce(F.col(column).rlike(r"[0-9][0-9.]{37}|[0-9][eE][+-]?[0-9]{3}"), F.lit(False))
 
 
 class Contract:
     """A schema with its options.
 
     null_as says what a SQL null in a column or struct field is: an "absent" member
-    (the default) or a JSON "null". Nulls in arrays and maps are JSON null.
+    (the default) or a JSON "null". Nulls in arrays and maps are JSON null. With
+    exact_numbers, JSON text that holds numbers of over 38 digits, or exponents of three
+    digits, goes to the plain evaluator, as VARIANT would round them.
     """
 
-    def __init__(self, schema: Any, null_as: str = "absent", **options: Any):
-        self.schema, self.null_as = schema, null_as
+    def __init__(self, schema: Any, null_as: str = "absent", exact_numbers: bool = False, **options: Any):
+        self.schema, self.null_as, self.exact_numbers = schema, null_as, exact_numbers
         self.options = Options(**options)
         Lowering(schema, self.options, null_as)  # a schema that can't be used fails here
 
@@ -51,9 +58,12 @@ class Contract:
             return as_column(low.pred(low.schema, self._row(df)))
         v = self._column(df, column, parse)
         p = as_column(low.pred(low.schema, v))
-        if parse or v.dynamic:
-            return v.col.isNotNull() & F.coalesce(p, F.lit(False)) if parse else F.coalesce(p, F.lit(False))
-        return p
+        if not parse and not v.dynamic:
+            return p
+        p = F.coalesce(p, F.lit(False))
+        if parse and self.exact_numbers:
+            return F.when(_has_long_number(column), self._exact(column)).otherwise(v.col.isNotNull() & p)
+        return v.col.isNotNull() & p if parse else p
 
     def valid(self, df: DataFrame, column: str | None = None, parse: bool = False) -> DataFrame:
         """The rows that meet the schema."""
@@ -71,9 +81,27 @@ class Contract:
         v = self._column(df, column, parse)
         found = low._joined(low.violations(low.schema, v))
         if parse:
-            return F.when(v.col.isNull(), low._joined([low._one_row("", "", "", "not a JSON document", 0)])).otherwise(found)
+            bad = low._joined([low._one_row("", "", "", "not a JSON document", 0)])
+            found = F.when(v.col.isNull(), bad).otherwise(found)
+            return F.when(_has_long_number(column), self._exact(column, True)).otherwise(found) if self.exact_numbers else found
         return found
 
+    def _exact(self, column: str, listed: bool = False) -> Column:
+        """The plain evaluator on JSON text: for numbers of more digits than VARIANT keeps."""
+        low = self._lowering()
+        run = low._remote(low.schema) if isinstance(low.schema, dict) else (lambda text: low.evaluator.validate_json(text))
+
+        def failures(text: str) -> list:
+            try:
+                return [(x.instance_path, x.schema_path, x.keyword, x.message, d) for top in run(text) for d, x in top.flat()]
+            except ValueError:
+                return [("", "", "", "not a JSON document", 0)]
+
+        text = F.when(_has_long_number(column), F.col(column))  # the engine hands all rows to Python: the others as null
+        if listed:
+            return F.pandas_udf(lambda s: s.map(lambda t: None if t is None else failures(t)), f"array<{VIOLATION}>")(text)
+        return F.pandas_udf(lambda s: s.map(lambda t: None if t is None else not failures(t)).astype(object), "boolean")(text)
+
     def validate(self, df: DataFrame, column: str | None = None, parse: bool = False, name: str = "violations") -> DataFrame:
         """All rows, with their violations."""
         return df.withColumn(name, self.failures(df, column, parse))

@@ -32,7 +32,7 @@ Predicate = bool | Column
 VIOLATION = "struct<instance_path:string,schema_path:string,keyword:string,message:string,depth:int>"
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 #: Formats whose Column runs Python.
-PYTHON_FORMATS = frozenset({"email", "idn-email", "idn-hostname", "hostname", "uri", "uri-reference", "iri", "iri-reference", "ipv6", "regex"})
+PYTHON_FORMATS = frozenset({"email", "idn-email", "idn-hostname", "hostname", "regex"})
 
 
 class NeedsEvaluator(Exception):

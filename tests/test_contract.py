@@ -76,6 +76,17 @@ def test_typed_agrees_with_the_evaluator(spark, null_as):
             assert r[f"p{i}"] == (not want), (s, x)
 
 
+def test_long_numbers_are_exact(spark):
+    nines = "9" * 45
+    docs = [f'{{"a":{nines}}}', f'{{"a":{nines[:-1]}8}}', '{"a":1e400}', '{"a":[1e400,1e400]}', '{"a":' + "1" * 5000 + "}", f'{{"a":{nines}', '{"a":3}']
+    df = spark.createDataFrame([(d,) for d in docs], "j string")
+    for s in ({"properties": {"a": {"multipleOf": 9}}}, {"properties": {"a": {"maximum": 1e200, "type": "integer"}}}, {"properties": {"a": {"uniqueItems": True}}}):
+        c = Contract(s, exact_numbers=True)
+        for r in df.select("j", c.is_valid(df, "j", parse=True).alias("ok"), c.failures(df, "j", parse=True).alias("v")).collect():
+            want = Evaluator(s).validate_json(r.j)
+            assert r.ok == (not want) and [v.keyword for v in r.v] == [v.keyword for v in want], (s, r.j[:60])
+
+
 def test_messages_agree(spark):
     s = {"properties": {"a": {"type": "string"}, "b": {"items": {"minimum": 2}}}, "required": ["c"]}
     df = spark.createDataFrame([('{"a":1.5,"b":[1,3]}',)], "j string")

@@ -7,7 +7,7 @@ import random
 import numpy as np
 import pytest
 from corvane.functions import strings
-from corvane.operators.annotate import annotate_files, dialects, yaml_schema
+from corvane.operators.annotate import Note, annotate_files, dialects, yaml_schema
 from corvane.operators.contract import Contract
 from corvane.operators.generate import Generator, allow, apply_keywords, apply_rules, forbid, number, schema_of, schema_with_defaults, tighten
 from corvane.operators.infer import infer, merge, merge_all, observations, types_of
@@ -119,6 +119,8 @@ def test_generation_options():
     s = Generator(definitions=True, namer=str.upper).schema(kind)
     assert s["properties"]["a"] == s["properties"]["b"] == {"$ref": "#/$defs/A"} and set(s["$defs"]) == {"A", "C"}
     assert Generator(providers=[lambda k: {"type": "string", "format": "x"} if isinstance(k, T.DateType) else None]).of(T.DateType(), "d") == {"type": "string", "format": "x"}
+    marked = T.StructType([T.StructField("x", T.StringType(), False, {"upper": "yes", "rules": "max=3"})])
+    assert Generator(interpreters={"upper": lambda s, text: s | {"pattern": "^[A-Z]*$"}}).schema(marked)["properties"]["x"] == {"type": "string", "maxLength": 3, "pattern": "^[A-Z]*$"}
     with pytest.raises(SchemaError):
         Generator().of(T.MapType(T.DateType(), T.StringType()), "m")
     with pytest.raises(SchemaError):
@@ -185,6 +187,8 @@ def test_comment_dialects():
     assert p["ports"]["items"]["properties"]["name"] == {"type": "string"} and "hidden" not in p and p["free"] == {"type": "object"} and p["yes"]["type"] == "string"
     assert {k: v["type"] for k, v in p["more"]["properties"].items()} == {"q": "number", "p": "integer"}
     assert s["additionalProperties"] is True and yaml_schema(CHART, strict=True)["additionalProperties"] is True and yaml_schema("a: 1\n", strict=True)["additionalProperties"] is False
+    rooted = yaml_schema("# @schema.root\n# title: T\n# additionalProperties: false\n# @schema.root\na: 1\n", use=["doc", lambda node, lines: Note({"title": node.path})])
+    assert (rooted["title"], rooted["additionalProperties"], rooted["properties"]["a"]["title"]) == ("T", False, "a")
     assert yaml_schema("# only comments\n") == {} and yaml_schema(CHART, use=["block"])["properties"]["replicas"]["description"] == "top note replicas to run"
     with pytest.raises(KeyError):
         dialects(["nope"])
@@ -252,6 +256,14 @@ def test_publisher_and_log_sink(spark, tmp_path):
     assert sorted(r.value for r in spark.read.text(str(tmp_path / "log")).collect()) == ['level=WARNING msg="b \\"c\\"" n=2', 'level=error msg=""']
 
 
+def test_profiles(spark, tmp_path):
+    from corvane.sources.profile import profiled
+
+    with profiled(spark, str(tmp_path / "p")):
+        spark.range(5).select(F.udf(lambda x: x + 1, "long")("id")).collect()
+    assert list((tmp_path / "p").iterdir()) and spark.conf.get("spark.sql.pyspark.udf.profiler", None) is None
+
+
 def test_strings(spark):
     one = spark.range(1)
     value = lambda c: one.select(c.alias("v")).first().v
