@@ -109,6 +109,7 @@ class WordIds(dict):
         """(ids of all rows end to end, each row's closed by end_id; row borders)."""
         if len(self) > CACHE:
             self.forget()
+        data, offs = part_signs(data, offs)
         raw, n_words, at = data.tobytes(), np.zeros(len(offs) - 1, np.int64), []
         for i in range(len(offs) - 1):
             whole = raw[offs[i] : offs[i + 1]]
@@ -130,6 +131,22 @@ class WordIds(dict):
         return ids, np.concatenate([[0], ends])
 
 
+def part_signs(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The block with a blank before each full stop or comma between a lower-case ASCII letter and white space.
+
+    The tokenizer parts the sign from the letter anyway, so no id changes; but words that
+    differ in the sign alone become one.
+    """
+    at = np.flatnonzero(_SIGN[data])
+    at = at[at > 0]
+    after = np.append(data, 32)[at + 1]
+    border = np.isin(at + 1, offs)
+    at = at[_LETTER[data[at - 1]] & (_BLANK[after] | border)]
+    return np.insert(data, at, 32), offs + np.searchsorted(at, offs)
+
+
+_SIGN, _LETTER, _BLANK = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+_SIGN[list(b".,")], _LETTER[97:123], _BLANK[[32, *range(9, 14)]] = True, True, True
 _words: dict[str, WordIds] = {}
 
 
