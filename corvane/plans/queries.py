@@ -179,10 +179,10 @@ checked(
 # -- formats ----------------------------------------------------------------------
 
 
-def formatted(name: str, fmt: str, source: str, key: str, text: Column, sql_condition: str) -> None:
+def formatted(name: str, fmt: str, source: str, key: str, text: Callable[[], Column], sql_condition: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         df = table(spark, sf_dir, source)
-        return df.select(key, format_column(fmt, text).cast("int").alias("ok"))
+        return df.select(key, format_column(fmt, text()).cast("int").alias("ok"))
 
     query(f"SELECT {key}, CAST(coalesce({sql_condition}, false) AS INTEGER) AS ok FROM {source}", name)(run)
 
@@ -195,33 +195,33 @@ def _pick(key: str, *texts: Column | str) -> Column:
     return F.element_at(F.array(*(F.lit(t) if isinstance(t, str) else t for t in texts)), (F.col(key) % len(texts) + 1).cast("int"))
 
 
-_K = F.col("o_orderkey")
-_DATE = F.concat(F.lit(1896) + _K % 210, F.lit("-"), _pad(_K % 14), F.lit("-"), _pad(_K % 33))
+_K = lambda: F.col("o_orderkey")
+_DATE = lambda: F.concat(F.lit(1896) + _K() % 210, F.lit("-"), _pad(_K() % 14), F.lit("-"), _pad(_K() % 33))
 _DATE_OK = "try_cast((1896 + o_orderkey % 210) || '-' || lpad((o_orderkey % 14)::VARCHAR, 2, '0') || '-' || lpad((o_orderkey % 33)::VARCHAR, 2, '0') AS DATE) IS NOT NULL"
-_TIME = F.concat(_pad(_K % 26), F.lit(":"), _pad(_K % 61), F.lit(":"), _pad(_K % 62), F.when(_K % 7 == 0, F.lit("")).when(_K % 2 == 0, F.lit(".5Z")).otherwise(F.lit("+00:30")))
+_TIME = lambda: F.concat(_pad(_K() % 26), F.lit(":"), _pad(_K() % 61), F.lit(":"), _pad(_K() % 62), F.when(_K() % 7 == 0, F.lit("")).when(_K() % 2 == 0, F.lit(".5Z")).otherwise(F.lit("+00:30")))
 # with +00:30 a leap second at 00:29 is UTC 23:59
 _TIME_OK = "(o_orderkey % 7 <> 0 AND o_orderkey % 26 <= 23 AND o_orderkey % 61 <= 59 AND (o_orderkey % 62 <= 59 OR (o_orderkey % 62 = 60 AND CASE WHEN o_orderkey % 2 = 0 THEN o_orderkey % 26 = 23 AND o_orderkey % 61 = 59 ELSE o_orderkey % 26 = 0 AND o_orderkey % 61 = 29 END)))"
-formatted("fmt_date", "date", "orders", "o_orderkey", _DATE, _DATE_OK)
-formatted("fmt_time", "time", "orders", "o_orderkey", _TIME, _TIME_OK)
-formatted("fmt_date_time", "date-time", "orders", "o_orderkey", F.concat(_DATE, F.when(_K % 3 == 0, F.lit(" ")).otherwise(F.lit("T")), _TIME), f"o_orderkey % 3 <> 0 AND {_DATE_OK} AND {_TIME_OK}")
-_C = F.col("c_custkey")
-_N = (_C % 50).cast("string")
-formatted("fmt_duration", "duration", "customer", "c_custkey", _pick("c_custkey", F.concat(F.lit("P"), _N, F.lit("D")), F.concat(F.lit("P"), _N, F.lit("Y1D")), F.concat(F.lit("PT"), _N, F.lit("H5M")), "P", F.concat(F.lit("P"), _N, F.lit("W")), F.concat(F.lit("P1Y2M"), _N, F.lit("DT3S")), "P1WT2H", "PT"), "c_custkey % 8 IN (0, 2, 4, 5)")
-formatted("fmt_uri", "uri", "pages", "page_id", F.concat(F.col("url"), F.when(F.col("page_id") % 5 == 0, F.lit(" x")).when(F.col("page_id") % 5 == 1, F.lit("%2")).otherwise(F.lit("%20"))), "page_id % 5 NOT IN (0, 1)")
-formatted("fmt_uri_reference", "uri-reference", "pages", "page_id", _pick("page_id", F.regexp_extract("url", "//[^/]+(/[^?#]*)", 1), F.concat(F.lit("1:"), "url"), "?q#f", "a|b"), "page_id % 4 IN (0, 2)")
-formatted("fmt_hostname", "hostname", "customer", "c_custkey", _pick("c_custkey", F.concat(F.lit("host-"), _N, F.lit(".example.com")), F.concat(F.lit("-h"), _N), F.concat(F.lit("h."), _N), F.concat(F.lit("a_b"), _N), F.repeat(F.lit("a"), (_C % 70 + 1).cast("int")), F.lit("x.example.")), "CASE c_custkey % 6 WHEN 0 THEN true WHEN 4 THEN c_custkey % 70 + 1 <= 63 WHEN 5 THEN true ELSE false END")
-formatted("fmt_ipv4", "ipv4", "customer", "c_custkey", F.concat_ws(".", (_C % 300).cast("string"), _N, F.lit("0"), F.when(_C % 4 == 0, F.lit("01")).otherwise(F.lit("255"))), "c_custkey % 300 <= 255 AND c_custkey % 4 <> 0")
-formatted("fmt_ipv6", "ipv6", "customer", "c_custkey", _pick("c_custkey", F.concat(F.lit("2001:db8::"), _N), "::", "1:2:3:4:5:6:7", "::ffff:1.2.3.4", "1::2::3", "1.2.3.4", "fe80::1%eth0"), "c_custkey % 7 IN (0, 1, 3)")
-formatted("fmt_uuid", "uuid", "customer", "c_custkey", F.regexp_replace(F.md5(F.col("c_name").cast("binary")), "^(.{8})(.{4})(.{4})(.{4})", F.when(_C % 3 == 0, "$1-$2-$3$4-").otherwise("$1-$2-$3-$4-")), "c_custkey % 3 <> 0")
-formatted("fmt_json_pointer", "json-pointer", "customer", "c_custkey", _pick("c_custkey", "", "/a/~0~1", F.concat(F.lit("/"), _N), "a", "/~2", "/~"), "c_custkey % 6 IN (0, 1, 2)")
-formatted("fmt_relative_json_pointer", "relative-json-pointer", "customer", "c_custkey", _pick("c_custkey", "0", "1#", F.concat(F.lit("2/"), _N), "01", "/a", "1/~3"), "c_custkey % 6 IN (0, 1, 2)")
-formatted("fmt_email", "email", "customer", "c_custkey", _pick("c_custkey", F.concat(F.lit("user"), _N, F.lit("@example.com")), '"a b"@example.org', "x@[127.0.0.1]", "x@[IPv6:::1]", ".a@example.com", "a..b@example.com", "a@-x.com", "a@b@c", F.concat(F.repeat(F.lit("l"), (_C % 80 + 1).cast("int")), F.lit("@e.de"))), "CASE WHEN c_custkey % 9 IN (0, 1, 2, 3) THEN true WHEN c_custkey % 9 = 8 THEN c_custkey % 80 + 1 <= 64 ELSE false END")
-formatted("fmt_uri_template", "uri-template", "customer", "c_custkey", _pick("c_custkey", "/x/{id}", "{?a,b*}", "{x:3}", "{", "{a b}", "{x:0}", "/é{+path}"), "c_custkey % 7 IN (0, 1, 2, 6)")
-formatted("fmt_regex", "regex", "customer", "c_custkey", _pick("c_custkey", "^a+b?$", "(a|b){2,3}", "[", "a{3,1}", "(?<n>x)\\d", ")", "*a"), "c_custkey % 7 IN (0, 1, 4)")
-formatted("fmt_idn_hostname", "idn-hostname", "customer", "c_custkey", _pick("c_custkey", "bücher.example", "実例.テスト", "l·l.cat", "a·b", "-ü", "üa--x", "example"), "c_custkey % 7 IN (0, 1, 2, 6)")
-formatted("fmt_idn_email", "idn-email", "customer", "c_custkey", _pick("c_custkey", "用户@例え.jp", "a@b.de", "@x.de", "ü.@x.de"), "c_custkey % 4 IN (0, 1)")
-formatted("fmt_iri", "iri", "customer", "c_custkey", _pick("c_custkey", "http://é.example/ü?q#f", "/ü", "http://a b", "urn:x:y"), "c_custkey % 4 IN (0, 3)")
-formatted("fmt_iri_reference", "iri-reference", "customer", "c_custkey", _pick("c_custkey", "é?ü", "/a/b", "\\x", "a<b"), "c_custkey % 4 IN (0, 1)")
+formatted("fmt_date", "date", "orders", "o_orderkey", lambda: _DATE(), _DATE_OK)
+formatted("fmt_time", "time", "orders", "o_orderkey", lambda: _TIME(), _TIME_OK)
+formatted("fmt_date_time", "date-time", "orders", "o_orderkey", lambda: F.concat(_DATE(), F.when(_K() % 3 == 0, F.lit(" ")).otherwise(F.lit("T")), _TIME()), f"o_orderkey % 3 <> 0 AND {_DATE_OK} AND {_TIME_OK}")
+_C = lambda: F.col("c_custkey")
+_N = lambda: (_C() % 50).cast("string")
+formatted("fmt_duration", "duration", "customer", "c_custkey", lambda: _pick("c_custkey", F.concat(F.lit("P"), _N(), F.lit("D")), F.concat(F.lit("P"), _N(), F.lit("Y1D")), F.concat(F.lit("PT"), _N(), F.lit("H5M")), "P", F.concat(F.lit("P"), _N(), F.lit("W")), F.concat(F.lit("P1Y2M"), _N(), F.lit("DT3S")), "P1WT2H", "PT"), "c_custkey % 8 IN (0, 2, 4, 5)")
+formatted("fmt_uri", "uri", "pages", "page_id", lambda: F.concat(F.col("url"), F.when(F.col("page_id") % 5 == 0, F.lit(" x")).when(F.col("page_id") % 5 == 1, F.lit("%2")).otherwise(F.lit("%20"))), "page_id % 5 NOT IN (0, 1)")
+formatted("fmt_uri_reference", "uri-reference", "pages", "page_id", lambda: _pick("page_id", F.regexp_extract("url", "//[^/]+(/[^?#]*)", 1), F.concat(F.lit("1:"), "url"), "?q#f", "a|b"), "page_id % 4 IN (0, 2)")
+formatted("fmt_hostname", "hostname", "customer", "c_custkey", lambda: _pick("c_custkey", F.concat(F.lit("host-"), _N(), F.lit(".example.com")), F.concat(F.lit("-h"), _N()), F.concat(F.lit("h."), _N()), F.concat(F.lit("a_b"), _N()), F.repeat(F.lit("a"), (_C() % 70 + 1).cast("int")), F.lit("x.example.")), "CASE c_custkey % 6 WHEN 0 THEN true WHEN 4 THEN c_custkey % 70 + 1 <= 63 WHEN 5 THEN true ELSE false END")
+formatted("fmt_ipv4", "ipv4", "customer", "c_custkey", lambda: F.concat_ws(".", (_C() % 300).cast("string"), _N(), F.lit("0"), F.when(_C() % 4 == 0, F.lit("01")).otherwise(F.lit("255"))), "c_custkey % 300 <= 255 AND c_custkey % 4 <> 0")
+formatted("fmt_ipv6", "ipv6", "customer", "c_custkey", lambda: _pick("c_custkey", F.concat(F.lit("2001:db8::"), _N()), "::", "1:2:3:4:5:6:7", "::ffff:1.2.3.4", "1::2::3", "1.2.3.4", "fe80::1%eth0"), "c_custkey % 7 IN (0, 1, 3)")
+formatted("fmt_uuid", "uuid", "customer", "c_custkey", lambda: F.regexp_replace(F.md5(F.col("c_name").cast("binary")), "^(.{8})(.{4})(.{4})(.{4})", F.when(_C() % 3 == 0, "$1-$2-$3$4-").otherwise("$1-$2-$3-$4-")), "c_custkey % 3 <> 0")
+formatted("fmt_json_pointer", "json-pointer", "customer", "c_custkey", lambda: _pick("c_custkey", "", "/a/~0~1", F.concat(F.lit("/"), _N()), "a", "/~2", "/~"), "c_custkey % 6 IN (0, 1, 2)")
+formatted("fmt_relative_json_pointer", "relative-json-pointer", "customer", "c_custkey", lambda: _pick("c_custkey", "0", "1#", F.concat(F.lit("2/"), _N()), "01", "/a", "1/~3"), "c_custkey % 6 IN (0, 1, 2)")
+formatted("fmt_email", "email", "customer", "c_custkey", lambda: _pick("c_custkey", F.concat(F.lit("user"), _N(), F.lit("@example.com")), '"a b"@example.org', "x@[127.0.0.1]", "x@[IPv6:::1]", ".a@example.com", "a..b@example.com", "a@-x.com", "a@b@c", F.concat(F.repeat(F.lit("l"), (_C() % 80 + 1).cast("int")), F.lit("@e.de"))), "CASE WHEN c_custkey % 9 IN (0, 1, 2, 3) THEN true WHEN c_custkey % 9 = 8 THEN c_custkey % 80 + 1 <= 64 ELSE false END")
+formatted("fmt_uri_template", "uri-template", "customer", "c_custkey", lambda: _pick("c_custkey", "/x/{id}", "{?a,b*}", "{x:3}", "{", "{a b}", "{x:0}", "/é{+path}"), "c_custkey % 7 IN (0, 1, 2, 6)")
+formatted("fmt_regex", "regex", "customer", "c_custkey", lambda: _pick("c_custkey", "^a+b?$", "(a|b){2,3}", "[", "a{3,1}", "(?<n>x)\\d", ")", "*a"), "c_custkey % 7 IN (0, 1, 4)")
+formatted("fmt_idn_hostname", "idn-hostname", "customer", "c_custkey", lambda: _pick("c_custkey", "bücher.example", "実例.テスト", "l·l.cat", "a·b", "-ü", "üa--x", "example"), "c_custkey % 7 IN (0, 1, 2, 6)")
+formatted("fmt_idn_email", "idn-email", "customer", "c_custkey", lambda: _pick("c_custkey", "用户@例え.jp", "a@b.de", "@x.de", "ü.@x.de"), "c_custkey % 4 IN (0, 1)")
+formatted("fmt_iri", "iri", "customer", "c_custkey", lambda: _pick("c_custkey", "http://é.example/ü?q#f", "/ü", "http://a b", "urn:x:y"), "c_custkey % 4 IN (0, 3)")
+formatted("fmt_iri_reference", "iri-reference", "customer", "c_custkey", lambda: _pick("c_custkey", "é?ü", "/a/b", "\\x", "a<b"), "c_custkey % 4 IN (0, 1)")
 
 
 # -- inference and merge ------------------------------------------------------------
@@ -305,13 +305,13 @@ def render_half_block(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("seq"), render_half_blocks(pix, F.lit(2), F.lit(1)).alias("text"))
 
 
-_LINES = F.slice(F.split("text", " "), 1, 5)
+_LINES = lambda: F.slice(F.split("text", " "), 1, 5)
 _LINES_SQL = "string_split(text, ' ')[1:5]"
 
 
 @query(f"SELECT doc_id, array_to_string({_LINES_SQL}, chr(10)) AS lf, array_to_string({_LINES_SQL}, chr(13) || chr(10)) AS crlf, array_to_string({_LINES_SQL}, chr(10)) || chr(10) AS closed FROM documents")
 def str_join_lines(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", strings.join_lf(_LINES).alias("lf"), strings.join_crlf(_LINES).alias("crlf"), strings.lines_lf(_LINES).alias("closed"))
+    return table(spark, sf_dir, "documents").select("doc_id", strings.join_lf(_LINES()).alias("lf"), strings.join_crlf(_LINES()).alias("crlf"), strings.lines_lf(_LINES()).alias("closed"))
 
 
 @query("SELECT doc_id, regexp_replace(replace(text, '. ', ' ' || chr(9) || chr(10)), '[ \\t]+(\\n|$)', '\\1', 'g') AS trimmed FROM documents")

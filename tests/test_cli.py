@@ -1,6 +1,9 @@
 """The command line, vocabularies, and the driver contract."""
 
 import json
+import os
+import subprocess
+import sys
 
 import pytest
 from corvane.__main__ import main, time_stages
@@ -37,6 +40,13 @@ def test_vocabularies():
     assert not Evaluator({"$schema": "http://x/meta", "format": "ipv4"}, Options(resolver=schema_map({"http://x/meta": asserted}))).is_valid("x")
 
 
+def test_entry_imports_without_a_session():
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    got = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True)
+    assert got.returncode == 0, got.stderr
+
+
 def test_registered_queries():
     entry = pytest.importorskip("__spark_entry__")
     names, sql = entry.queries(), entry.oracle_sql()
