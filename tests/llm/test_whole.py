@@ -1,0 +1,37 @@
+"""Operators read the whole of what they judge."""
+
+import random
+
+from corvane.llm.secret_scan import AFTER, BEFORE, _joined, scan_secrets, trained, windows
+
+KEY = "a8Kd93kLm2Zq81nB7xYp05RtVwQe4TgHj2Lc6Nf9"
+PATH = "the/north/station/garden/window/morning/river/paper/letter/summer"
+
+
+def scanned(spark, texts):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    return sorted(scan_secrets(docs, redacted=True).collect())
+
+
+def test_secrets_behind_a_harmless_head(spark):
+    head, key, both, long = scanned(spark, [f"see {PATH} now", f"see {KEY} now", f"see {PATH}/{KEY} now", f"see {'/'.join([PATH] * 9)}/{KEY} now"])
+    assert len(PATH) > 48 and head.n_learned == 0
+    assert key.n_learned == both.n_learned == long.n_learned == 1
+    assert both.spans == f"learned:4:{len(PATH) + len(KEY) + 5}" and KEY not in both.redacted + long.redacted
+
+
+def test_windows_cover_candidates_and_their_surroundings():
+    for n in range(16, 400):
+        places = windows(100, 100 + n)
+        seen = {i for p in places for i in range(p - BEFORE, p + AFTER)}
+        assert seen >= set(range(100 - BEFORE, 100 + n + BEFORE)) and len(places) == len(set(places))
+
+
+def test_secret_network_keeps_recall_on_joined_runs():
+    rng = random.Random(77)
+    found = [_joined(rng) for _ in range(600)]
+    network = trained()
+    caught = network.scaled(network.highest((t, a, b) for t, a, b, _ in found)) >= network.threshold
+    secret = [s is not None for *_, s in found]
+    assert sum(c for c, s in zip(caught, secret, strict=True) if s) >= 0.94 * sum(secret)
+    assert sum(c for c, s in zip(caught, secret, strict=True) if not s) <= 0.03 * secret.count(False)
