@@ -20,6 +20,16 @@ def test_secrets_behind_a_harmless_head(spark):
     assert both.spans == f"learned:4:{len(PATH) + len(KEY) + 5}" and KEY not in both.redacted + long.redacted
 
 
+def test_secrets_that_base_patterns_touch(spark):
+    hex_ = "0123456789abcdef" * 2
+    texts = [f"key sk_live_{hex_}-Zq81nB7xYp05RtVwQe4TgHj2 end", f"x {KEY}.token=abcdefgh1 end", "password=short secret: x-y_z.12345", f"see {PATH}.token=abcdefgh1"]
+    issued, random_, plain, path = scanned(spark, texts)
+    assert issued.spans == f"learned:4:{len(texts[0]) - 4},hex:12:44"
+    assert issued.redacted == "key [LEARNED] end" and issued.n_hex == 1
+    assert random_.redacted == "x [LEARNED] end" and random_.n_assign == 1
+    assert plain.n_learned == 0 and plain.n_assign == 1 and path.n_assign == 1 and path.n_learned == 0
+
+
 def test_windows_cover_candidates_and_their_surroundings():
     for n in range(16, 400):
         places = windows(100, 100 + n)
