@@ -36,10 +36,20 @@ def _parent(kind: str, children: Column) -> Column:
     return F.sha2(F.concat(F.lit(kind), F.array_join(children, "")), 256)
 
 
-def section_digests(text: Column) -> Column:
-    """The digest of every section, in order: an array of hexadecimal SHA-256."""
-    paragraph = lambda p: _parent("P", F.transform(_pieces(p), lambda piece: F.sha2(F.concat(F.lit("L"), piece), 256)))
-    return F.transform(_cut(text, SECTION_END), lambda s: _parent("S", F.transform(_cut(s, PARAGRAPH_END), paragraph)))
+def piece_digests(text: Column) -> Column:
+    """The digest of every piece, in order: an array for each section of an array for each paragraph of hexadecimal SHA-256."""
+    paragraph = lambda p: F.transform(_pieces(p), lambda piece: F.sha2(F.concat(F.lit("L"), piece), 256))
+    return F.transform(_cut(text, SECTION_END), lambda s: F.transform(_cut(s, PARAGRAPH_END), paragraph))
+
+
+def paragraph_digests(pieces: Column) -> Column:
+    """The digest of every paragraph over its pieces': an array for each section."""
+    return F.transform(pieces, lambda s: F.transform(s, lambda p: _parent("P", p)))
+
+
+def section_digests(paragraphs: Column) -> Column:
+    """The digest of every section over its paragraphs'."""
+    return F.transform(paragraphs, lambda s: _parent("S", s))
 
 
 def root_digest(sections: Column) -> Column:
@@ -64,6 +74,11 @@ def first_difference(one: Column, other: Column) -> Column:
     return F.array_position(F.zip_with(one, other, lambda a, b: ~a.eqNullSafe(b)), True)
 
 
+def branch(tree: Column, number: Column) -> Column:
+    """What hangs under a branch, counted from 1; nothing where there is none."""
+    return F.coalesce(F.get(tree, number - 1), F.array())
+
+
 def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, text (null as empty) and next_text, the text of the next row by ascending id.
 
@@ -108,20 +123,29 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     The edited text has the last floor(n_chars / 2) code points replaced by the first
     as many (or all) of the next document's. Returns id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next, n_sections,
-    first_edited_section (from 1; 0 if equal). Null text is empty text: no sections,
+    first_edited_section, first_edited_paragraph (inside that section) and
+    first_edited_piece (inside that paragraph), each from 1; 0 if equal. Null text is empty text: no sections,
     likeness 1 to an empty text and 0 to any other. Order among equal and null ids is
     as with_next() says; other columns are ignored; an empty table gives none.
     """
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = with_next(docs, id_col, text_col).withColumn("n_chars", F.length("text").cast("long"))
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring("next_text", F.lit(1), half)))
+    kept = [id_col, "n_chars", "edited_sha256", "p", "q", "r"]
     rows = rows.select(
         id_col, "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        section_digests(F.col("text")).alias("s"), section_digests(F.col("edited")).alias("e"),
+        piece_digests(F.col("text")).alias("sl"), piece_digests(F.col("edited")).alias("el"),
         piece_set(F.col("text")).alias("p"), piece_set(F.col("edited")).alias("q"), piece_set(F.col("next_text")).alias("r"),
     )
+    # a level a step: what a step reads more than once isn't computed more than once
+    rows = rows.select(*kept, "sl", "el", paragraph_digests(F.col("sl")).alias("sp"), paragraph_digests(F.col("el")).alias("ep"))
+    rows = rows.select(*kept, "sl", "el", "sp", "ep", section_digests(F.col("sp")).alias("s"), section_digests(F.col("ep")).alias("e"))
+    section, paragraph = F.col("first_edited_section").cast("int"), F.col("first_edited_paragraph").cast("int")
+    rows = rows.withColumn("first_edited_section", first_difference(F.col("s"), F.col("e")))
+    rows = rows.withColumn("first_edited_paragraph", first_difference(branch(F.col("sp"), section), branch(F.col("ep"), section)))
+    under = lambda tree: branch(branch(F.col(tree), section), paragraph)
     return rows.select(
         id_col, "n_chars", "edited_sha256", root_digest(F.col("s")).alias("fingerprint"), root_digest(F.col("e")).alias("edited_fingerprint"),
         likeness(F.col("p"), F.col("q")).alias("near_edited"), likeness(F.col("p"), F.col("r")).alias("near_next"),
-        F.size("s").alias("n_sections"), first_difference(F.col("s"), F.col("e")).alias("first_edited_section"),
+        F.size("s").alias("n_sections"), "first_edited_section", "first_edited_paragraph", first_difference(under("sl"), under("el")).alias("first_edited_piece"),
     )

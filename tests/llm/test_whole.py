@@ -1,7 +1,9 @@
 """Operators read the whole of what they judge."""
 
 import random
+import re
 
+from corvane.llm.fingerprint import fingerprint_documents
 from corvane.llm.secret_scan import AFTER, BEFORE, _joined, scan_secrets, trained, windows
 
 KEY = "a8Kd93kLm2Zq81nB7xYp05RtVwQe4TgHj2Lc6Nf9"
@@ -45,3 +47,32 @@ def test_secret_network_keeps_recall_on_joined_runs():
     secret = [s is not None for *_, s in found]
     assert sum(c for c, s in zip(caught, secret, strict=True) if s) >= 0.94 * sum(secret)
     assert sum(c for c, s in zip(caught, secret, strict=True) if not s) <= 0.03 * secret.count(False)
+
+
+def test_edits_are_located_in_paragraphs_and_pieces(spark):
+    line = "".join(f"Sentence number {n} of it. " for n in range(4)) + "\n"
+    one = "".join(f"{k} {line}" for k in range(7))
+    blank = one + "\n" + one
+    texts = [one, "x" * 30 + "\n", one + "tail", blank, "y" * 40, "z", "z", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in fingerprint_documents(docs).collect()}
+    for i, text in enumerate(texts):
+        n = len(text) // 2
+        edited = text[: len(text) - n] + (texts[(i + 1) % len(texts)])[:n]
+        assert (got[i].first_edited_section, got[i].first_edited_paragraph, got[i].first_edited_piece) == place(text, edited), i
+    assert "\n\n" not in one and got[0].first_edited_section == 1 and got[0].first_edited_paragraph == 4 and got[0].first_edited_piece > 1
+    assert got[3].first_edited_section == 2
+
+
+def place(one, other):
+    """Section, paragraph and piece of the first difference, by plain cutting."""
+    cut = [lambda t: re.split(r"(?<=\n\n)(?!\n)", t), lambda t: re.split(r"(?<=\n)(?!\n)", t), lambda t: re.findall(r"(?s:.{1,31}?[.!?]\s|.{1,32})", t)]
+    if one == other:
+        return 0, 0, 0
+    found = []
+    for split in cut:
+        a, b = [x for x in split(one) if x], [x for x in split(other) if x]
+        at = next(k for k in range(max(len(a), len(b))) if a[k : k + 1] != b[k : k + 1])
+        found.append(at + 1)
+        one, other = "".join(a[at : at + 1]), "".join(b[at : at + 1])
+    return tuple(found)
