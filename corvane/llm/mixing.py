@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from corvane.llm.shared import Table
 from corvane.llm.textbuf import blocks, text_array, word_bounds
 
-#: Most membership patterns that the flow is solved for: it bounds what the driver holds and what is broadcast.
+#: Most patterns whose plan is broadcast, and most overlapping ones that the flow is solved for.
 MAX_PATTERNS = 20_000
 DOCS_PER_BUCKET = 1024
 
@@ -54,7 +54,8 @@ def water_fill(total: float, weights: list[float], caps: list[float]) -> list[fl
         if not over:
             break
         left -= sum(caps[i] for i in over)
-        open_ = [i for i in open_ if i not in set(over)]
+        full = set(over)
+        open_ = [i for i in open_ if i not in full]
     return share
 
 
@@ -102,6 +103,23 @@ def min_cost_flow(supply: list[int], members: list[list[int]], quota: list[int],
             cap[e ^ 1] += amount
 
 
+def words_given(supply: list[int], members: list[list[int]], quota: list[int], max_copies: int) -> list[int]:
+    """As min_cost_flow(); a pattern that alone has its only source needs no flow, so that is solved for the others only."""
+    users = [0] * len(quota)
+    for sources in members:
+        for s in sources:
+            users[s] += 1
+    given = [min(quota[m[0]], max_copies * n) if len(m) == 1 and users[m[0]] == 1 else 0 for n, m in zip(supply, members, strict=True)]
+    rest = [p for p, m in enumerate(members) if not (len(m) == 1 and users[m[0]] == 1)]
+    if len(rest) > MAX_PATTERNS:
+        raise ValueError(f"more than {MAX_PATTERNS} overlapping membership patterns")
+    number = {s: i for i, s in enumerate(sorted({s for p in rest for s in members[p]}))}
+    flow = min_cost_flow([supply[p] for p in rest], [[number[s] for s in members[p]] for p in rest], [quota[s] for s in number], max_copies)
+    for p, n in zip(rest, flow, strict=True):
+        given[p] = n
+    return given
+
+
 def _fill_border(columns: list[str], id_col: str):
     """Documents of one pattern's border bucket: in seeded order those that still fit, then one more if that comes nearer."""
 
@@ -130,15 +148,14 @@ def mix_sources(docs: DataFrame, weights: list[float], share: float, max_copies:
     of its sources), target (of that source), taken (a multiple of size, at most
     max_copies times). Null text has size 0 and takes 0; null is a source of its
     own; repeated rows are documents of their own; an empty table gives none.
-    Raises ValueError beyond MAX_PATTERNS membership patterns.
+    Raises ValueError beyond MAX_PATTERNS patterns that share sources; sources of their
+    own, as all of a string column are, may be any number that the driver can list.
     """
     is_array = isinstance(docs.schema[source_col].dataType, T.ArrayType)
     sources = F.coalesce(F.array_distinct(F.sort_array(source_col)), F.array(F.lit(None).cast("string"))) if is_array else F.array(F.col(source_col).cast("string"))
     sized = word_counts(docs, [id_col, source_col], text_col)
     table = Table(sized.select(id_col, source_col, "size", sources.alias("_members"), F.to_json(sources).alias("_pattern"), F.xxhash64(F.lit(seed), F.col(id_col)).alias("_hash")), "sized")
-    found = table.df.groupBy("_pattern").agg(F.first("_members").alias("m"), F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")).limit(MAX_PATTERNS + 1).collect()
-    if len(found) > MAX_PATTERNS:
-        raise ValueError(f"more than {MAX_PATTERNS} membership patterns")
+    found = table.df.groupBy("_pattern").agg(F.first("_members").alias("m"), F.sum("size").alias("words"), F.count(F.lit(1)).alias("docs")).collect()
     names = sorted({s for r in found for s in r.m}, key=lambda s: (s is None, (s or "").encode("utf-8", "surrogatepass")))
     number = {s: i for i, s in enumerate(names)}
     size = [0] * len(names)
@@ -147,21 +164,22 @@ def mix_sources(docs: DataFrame, weights: list[float], share: float, max_copies:
             size[number[s]] += r.words
     total = sum(r.words for r in found)
     target = water_fill(share * total, [float(weights[i % len(weights)]) for i in range(len(names))], [float(max_copies * x) for x in size])
-    given = min_cost_flow([r.words for r in found], [[number[s] for s in r.m] for r in found], [round(t) for t in target], max_copies)
+    given = words_given([r.words for r in found], [[number[s] for s in r.m] for r in found], [round(t) for t in target], max_copies)
     rows = []
     for r, words in zip(found, given, strict=True):
         best = max((number[s] for s in r.m), key=lambda i: size[i], default=None)
         whole, rest = divmod(words, r.words) if r.words else (0, 0)
         rows.append((r._pattern, None if best is None else size[best], None if best is None else target[best], int(whole), int(rest)))
     spark = docs.sparkSession
-    plan = F.broadcast(spark.createDataFrame(rows, "_pattern string, source_size long, target double, _whole long, _rest long"))  # at most MAX_PATTERNS rows
+    small = F.broadcast if len(found) <= MAX_PATTERNS else lambda df: df
+    plan = small(spark.createDataFrame(rows, "_pattern string, source_size long, target double, _whole long, _rest long"))
 
     n_buckets = 1 << (sum(r.docs for r in found) // DOCS_PER_BUCKET).bit_length()
     rows_in = table.df.withColumn("_bucket", F.pmod("_hash", F.lit(n_buckets)))
     in_order = Window.partitionBy("_pattern").orderBy("_bucket")
     upto = rows_in.groupBy("_pattern", "_bucket").agg(F.sum("size").alias("_words")).withColumn("_before", F.sum("_words").over(in_order) - F.col("_words"))
     border = upto.join(plan, "_pattern").filter((F.col("_before") <= F.col("_rest")) & (F.col("_rest") < F.col("_before") + F.col("_words")))
-    border = F.broadcast(border.select("_pattern", F.col("_bucket").alias("_border"), "_before"))  # one row a pattern
+    border = small(border.select("_pattern", F.col("_bucket").alias("_border"), "_before"))  # one row a pattern
     placed = rows_in.join(plan, "_pattern").join(border, "_pattern", "left")
     above = F.col("_bucket") > F.col("_border")
     columns = [id_col, source_col, "size", "source_size", "target"]

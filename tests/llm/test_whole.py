@@ -4,6 +4,7 @@ import random
 import re
 
 from corvane.llm.fingerprint import fingerprint_documents
+from corvane.llm.mixing import min_cost_flow, mix_sources, words_given
 from corvane.llm.secret_scan import AFTER, BEFORE, _joined, scan_secrets, trained, windows
 
 KEY = "a8Kd93kLm2Zq81nB7xYp05RtVwQe4TgHj2Lc6Nf9"
@@ -76,3 +77,21 @@ def place(one, other):
         found.append(at + 1)
         one, other = "".join(a[at : at + 1]), "".join(b[at : at + 1])
     return tuple(found)
+
+
+def test_more_sources_than_the_flow_takes(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, f"s{i % 60}", "w " * (i % 7 + 1)) for i in range(600)], "doc_id long, source string, text string").repartition(3)
+    want = sorted(mix_sources(docs, [5, 2, 1], 1.5).collect())
+    monkeypatch.setattr("corvane.llm.mixing.MAX_PATTERNS", 20)
+    got = sorted(mix_sources(docs, [5, 2, 1], 1.5).collect())
+    assert got == want and len({r.source for r in got}) == 60
+
+
+def test_flow_only_where_patterns_overlap():
+    rng = random.Random(3)
+    for _ in range(50):
+        members = [[s] for s in range(6)] + [sorted(rng.sample(range(6, 10), rng.randint(1, 3))) for _ in range(4)]
+        supply, quota = [rng.randint(0, 30) for _ in members], [rng.randint(0, 50) for _ in range(10)]
+        plain, got = min_cost_flow(supply, members, quota, 2), words_given(supply, members, quota, 2)
+        again = lambda given: sum(max(0, g - n) for g, n in zip(given, supply, strict=True))
+        assert got[:6] == plain[:6] and sum(got) == sum(plain) and again(got) == again(plain)
