@@ -136,6 +136,7 @@ _WORDS = lambda df: df.select("doc_id", F.split("text", " ").alias("words"))  #
 _WORDS_SQL = "(SELECT doc_id, string_split(text, ' ') AS words FROM documents)"
 checked("kw_array_length", "documents", {"properties": {"words": {"minItems": 100, "maxItems": 400}}}, "doc_id", "len(words) BETWEEN 100 AND 400", _WORDS, _WORDS_SQL)
 checked("kw_unique_items", "documents", {"properties": {"words": {"uniqueItems": True}}}, "doc_id", "len(words) = len(list_distinct(words))", lambda df: df.select("doc_id", F.slice(F.split("text", " "), 1, 8).alias("words")), "(SELECT doc_id, string_split(text, ' ')[1:8] AS words FROM documents)")
+checked("kw_unique_items_all_words", "documents", {"properties": {"words": {"uniqueItems": True}}}, "doc_id", "len(words) = len(list_distinct(words))", _WORDS, _WORDS_SQL)
 _HOLES = lambda df: df.select("p_partkey", F.when(F.col("p_size") > 10, F.col("p_brand")).alias("brand"), F.when(F.col("p_size") < 40, F.col("p_size")).alias("size"), F.when(F.col("p_size") % 3 == 0, F.col("p_retailprice")).alias("price"))
 _HOLES_SQL = "(SELECT p_partkey, CASE WHEN p_size > 10 THEN p_brand END AS brand, CASE WHEN p_size < 40 THEN p_size END AS size, CASE WHEN p_size % 3 = 0 THEN p_retailprice END AS price FROM part)"
 checked("kw_properties_required", "part", {"required": ["brand", "size"], "properties": {"price": {"minimum": 950}}}, "p_partkey", "brand IS NOT NULL AND size IS NOT NULL AND (price IS NULL OR price >= 950)", _HOLES, _HOLES_SQL)
@@ -162,6 +163,7 @@ checked(
     "user_id <= 40 AND event_type = 'click'", _MAP,
 )
 checked("kw_unevaluated_items", "embeddings", {"properties": {"e": {"prefixItems": [True], "contains": {"minimum": 0}, "unevaluatedItems": {"minimum": -1}}}}, "vec_id", "len(list_filter(embedding[1:6], lambda x: x >= 0)) > 0 AND len(list_filter(embedding[2:6], lambda x: x < 0 AND x < -1)) = 0", lambda df: df.select("vec_id", F.slice("embedding", 1, 6).alias("e")))
+checked("kw_unevaluated_items_all", "embeddings", {"properties": {"embedding": {"prefixItems": [True], "contains": {"minimum": 0}, "unevaluatedItems": {"minimum": -1}}}}, "vec_id", "len(list_filter(embedding, lambda x: x >= 0)) > 0 AND len(list_filter(embedding[2:], lambda x: x < 0 AND x < -1)) = 0")
 _B64 = lambda df: df.select("c_custkey", F.element_at(F.array(F.base64(F.col("c_name").cast("binary")), F.lit("YQ"), F.lit("a*b="), F.base64(F.concat(F.lit('{"a":'), "c_custkey", F.lit("}")).cast("binary"))), (F.col("c_custkey") % 4 + 1).cast("int")).alias("s"))
 checked("kw_content_encoding", "customer", {"properties": {"s": {"contentEncoding": "base64"}}}, "c_custkey", "c_custkey % 4 IN (0, 3)", _B64, content=True)
 checked("kw_content_media_type", "customer", {"properties": {"s": {"contentEncoding": "base64", "contentMediaType": "application/json"}}}, "c_custkey", "c_custkey % 4 = 3", _B64, content=True)
@@ -314,6 +316,15 @@ def str_join_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", strings.join_lf(_LINES()).alias("lf"), strings.join_crlf(_LINES()).alias("crlf"), strings.lines_lf(_LINES()).alias("closed"))
 
 
+_ALL_LINES = lambda: F.split("text", " ")
+_ALL_LINES_SQL = "string_split(text, ' ')"
+
+
+@query(f"SELECT doc_id, array_to_string({_ALL_LINES_SQL}, chr(10)) AS lf, array_to_string({_ALL_LINES_SQL}, chr(13) || chr(10)) AS crlf, array_to_string({_ALL_LINES_SQL}, chr(10)) || chr(10) AS closed FROM documents")
+def str_join_lines_all_words(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", strings.join_lf(_ALL_LINES()).alias("lf"), strings.join_crlf(_ALL_LINES()).alias("crlf"), strings.lines_lf(_ALL_LINES()).alias("closed"))
+
+
 @query("SELECT doc_id, regexp_replace(replace(text, '. ', ' ' || chr(9) || chr(10)), '[ \\t]+(\\n|$)', '\\1', 'g') AS trimmed FROM documents")
 def str_trim_line_ends(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", strings.trim_line_ends(F.replace("text", F.lit(". "), F.lit(" \t\n"))).alias("trimmed"))
