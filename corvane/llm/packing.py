@@ -3,13 +3,16 @@
 1. Each text becomes token ids plus an end id, in Arrow batches. Distinct words are
    tokenized once: the tokenizer drops white space, so a text's ids are its words'
    ids end to end. Only documents longer than a sequence are cut.
-2. Pieces are dealt by hash into blocks of about BLOCK pieces. In a block some
-   islands each evolve a population of packings. A crossover injects whole
-   well-filled bins of one parent into another, removes the bins that hold
-   duplicates of the injected pieces, and best-fits the displaced pieces, longest
-   first; every few generations an island's best packing migrates to the next.
-   An island stops once it uses ceil(tokens / capacity) bins: no packing uses fewer.
-3. Pieces of bins that are still open are pooled over all blocks and packed again.
+2. Pieces are dealt by hash into blocks of about BLOCK pieces, and each block is evolved
+   on ISLANDS islands. An island is a row of its own, with a population of packings: the
+   best fit of the longest first, and best fits of shaken orders. A crossover injects whole
+   well-filled bins of one parent into another, removes the bins that hold duplicates of
+   the injected pieces, and best-fits the displaced pieces, longest first.
+3. Islands are tasks apart. After each of ROUNDS rounds they are written to the shared
+   folder, and each goes on with the elite of the island before it in place of its worst.
+   The best packing of all islands is the block's: fewest bins, then fullest ones.
+4. Pieces of bins that are still open are pooled over all blocks and evolved again,
+   until that frees no more bins or one block holds them all.
 
 Every choice is seeded by the block's contents, so a lost task recomputes the same.
 """
@@ -20,9 +23,10 @@ import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,8 +35,11 @@ from corvane.llm.shared import Table
 from corvane.llm.textbuf import blocks, ragged, text_array
 
 BLOCK = 4096
-ISLANDS, POPULATION, GENERATIONS, MIGRATE = 2, 4, 8, 2
-WELL_FILLED, OPEN_BELOW = 0.99, 0.97
+#: Rounds of generations; between rounds islands exchange their elites.
+ISLANDS, POPULATION, ROUNDS, GENERATIONS = 3, 4, 3, 5
+#: The share of the fullest bins that a crossover chooses from, and the share of those that it injects.
+WELL_FILLED, INJECTED = 0.7, 0.6
+OPEN_BELOW = 0.97
 CACHE = 1 << 18
 
 
@@ -180,96 +187,185 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
     return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, piece int, start long, length long, ids_crc32 long" + ", ids binary" * keep_ids)
 
 
-Packing = list[list[int]]
+@dataclass
+class Packing:
+    """The bin of each piece; bins are numbered from 0, without gaps. `born` is the generation that made it, 0 for a best fit."""
 
+    bins: np.ndarray
+    born: int = 0
 
-def best_fit(items: list[int], size: list[int], capacity: int, bins: Packing) -> Packing:
-    """Put items, in the order given, each into the bin with least room that still holds it."""
-    room = sorted((capacity - sum(size[i] for i in b), n) for n, b in enumerate(bins))
-    for i in items:
-        at = bisect_left(room, (size[i], -1))
+    def fills(self, size: np.ndarray) -> np.ndarray:
+        return np.bincount(self.bins, size).astype(np.int64)
+
+    def fitness(self, size: np.ndarray, capacity: int) -> tuple[int, float]:
+        """Fewer bins first; then fuller ones, by the sum of squared fills."""
+        fills = self.fills(size) / capacity
+        return len(fills), -float((fills * fills).sum())
+
+
+def best_fit(items: np.ndarray, size: np.ndarray, capacity: int, bins: np.ndarray, used: int) -> np.ndarray:
+    """Put items, in the order given, each into the bin with least room that still holds it.
+
+    `bins` has the bin of each piece that is placed already, -1 for the others; `used` bins are in use.
+    """
+    bins = bins.copy()
+    placed = bins >= 0
+    room = sorted((capacity - int(fill), n) for n, fill in enumerate(np.bincount(bins[placed], size[placed], used)))
+    for i, n in zip(items.tolist(), size[items].tolist(), strict=True):
+        at = bisect_left(room, (n, -1))
         if at == len(room):
-            bins.append([i])
-            insort(room, (capacity - size[i], len(bins) - 1))
+            left, b = capacity, used
+            used += 1
         else:
-            left, n = room.pop(at)
-            bins[n].append(i)
-            insort(room, (left - size[i], n))
+            left, b = room.pop(at)
+        bins[i] = b
+        insort(room, (left - n, b))
     return bins
 
 
-def crossover(one: Packing, other: Packing, size: list[int], capacity: int, rng: np.random.Generator) -> Packing:
-    """Inject some of the other's well-filled bins, remove bins with duplicates, best-fit the displaced."""
-    full = [b for b in other if sum(size[i] for i in b) >= WELL_FILLED * capacity]
-    if not full:
-        return [list(b) for b in one]
-    chosen = [full[k] for k in sorted(rng.choice(len(full), max(1, len(full) // 3), replace=False))]
-    inside = {i for b in chosen for i in b}
-    kept = [list(b) for b in one if inside.isdisjoint(b)]
-    placed = inside.union(*kept) if kept else inside
-    displaced = sorted((i for b in one for i in b if i not in placed), key=lambda i: (-size[i], i))
-    return best_fit(displaced, size, capacity, [list(b) for b in chosen] + kept)
+def crossover(one: Packing, other: Packing, size: np.ndarray, capacity: int, rng: np.random.Generator, born: int = 0) -> Packing:
+    """Inject some of the other's well-filled bins into one, remove its bins with duplicates, best-fit the displaced."""
+    fills = other.fills(size)
+    full = np.argsort(-fills, kind="stable")[: max(1, int(WELL_FILLED * len(fills)))]
+    chosen = rng.choice(full, max(1, int(INJECTED * len(full))), replace=False)
+    injected = np.isin(other.bins, chosen)
+    doubled = np.isin(one.bins, one.bins[injected])  # pieces of one's bins that hold an injected piece
+    bins = np.full(len(size), -1, np.int64)
+    bins[injected] = np.searchsorted(np.sort(chosen), other.bins[injected])
+    kept = np.unique(one.bins[~doubled])
+    bins[~doubled] = len(chosen) + np.searchsorted(kept, one.bins[~doubled])
+    displaced = np.flatnonzero(doubled & ~injected)
+    displaced = displaced[np.argsort(-size[displaced], kind="stable")]
+    return Packing(best_fit(displaced, size, capacity, bins, len(chosen) + len(kept)), born)
+
+
+def settlers(size: np.ndarray, capacity: int, seed: int) -> list[Packing]:
+    """A first population: the best fit of the longest first, and of shaken orders."""
+    rng = np.random.default_rng(seed)
+    none = np.full(len(size), -1, np.int64)
+    shaken = [size, *(size * rng.uniform(0.8, 1.0, len(size)) for _ in range(POPULATION - 1))]
+    return [Packing(best_fit(np.argsort(-s, kind="stable"), size, capacity, none, 0)) for s in shaken]
 
 
-def fitness(bins: Packing, size: list[int], capacity: int) -> tuple[int, float]:
-    """Fewer bins first; then fuller ones, by the sum of squared fills."""
-    return len(bins), -sum((sum(size[i] for i in b) / capacity) ** 2 for b in bins)
+def evolve(people: list[Packing], size: np.ndarray, capacity: int, seed: int, first: int = 0, generations: int = GENERATIONS) -> list[Packing]:
+    """The population, best first, after some generations; `first` is the number of those before."""
+    rng = np.random.default_rng(seed)
+    score = lambda p: p.fitness(size, capacity)
+    people = sorted(people, key=score)
+    for generation in range(first + 1, first + generations + 1):
+        mates = [(0, 1 + k % (len(people) - 1)) for k in range(POPULATION // 2)] + [(1, 0), (len(people) - 1, 0)]
+        children = [crossover(people[a], people[b], size, capacity, rng, generation) for a, b in mates]
+        found = {score(p): p for p in reversed(people + children)}  # of equally fit ones the elder
+        people = sorted(found.values(), key=score)[:POPULATION]
+        while len(people) < 2:
+            people.append(people[0])
+    return people
 
 
-def evolve(size: list[int], capacity: int, seed: int = 0) -> Packing:
-    """A packing of items of the given sizes, none over capacity, into few bins."""
-    longest = sorted(range(len(size)), key=lambda i: (-size[i], i))
-    bound = -(-sum(size) // capacity)
-    first = best_fit(longest, size, capacity, [])
-    if len(first) <= bound:
-        return first
-    rng = np.random.default_rng(seed)
-    noisy = lambda: sorted(range(len(size)), key=dict(enumerate((np.array(size) * rng.uniform(0.8, 1.0, len(size))).tolist())).get, reverse=True)
-    score = lambda b: fitness(b, size, capacity)
-    islands = [[first, *(best_fit(noisy(), size, capacity, []) for _ in range(POPULATION - 1))] for _ in range(ISLANDS)]
-    for generation in range(GENERATIONS):
-        for n, people in enumerate(islands):
-            people.sort(key=score)
-            children = [crossover(people[0], people[1 + k % (len(people) - 1)], size, capacity, rng) for k in range(POPULATION // 2)]
-            children += [crossover(people[1], people[0], size, capacity, rng)]
-            islands[n] = sorted(people + children, key=score)[:POPULATION]
-        best = min((p[0] for p in islands), key=score)
-        if len(best) <= bound:
-            return best
-        if generation % MIGRATE == MIGRATE - 1:
-            elite = [p[0] for p in islands]
-            for n, people in enumerate(islands):
-                people[-1] = elite[n - 1]
-    return min((p[0] for p in islands), key=score)
-
-
-def _pack_block(capacity: int, id_col: str):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "ids_crc32", id_col, "piece"], ascending=[False, True, True, True], kind="stable").reset_index(drop=True)
-        size = pdf["length"].tolist()
-        bins = evolve(size, capacity, zlib.crc32(np.asarray(size, "<i8")))
-        sequence, offset, fill = np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64), np.zeros(len(pdf), np.int64)
-        for n, b in enumerate(bins):
-            ends = np.cumsum([size[i] for i in b])
-            sequence[b], offset[b], fill[b] = n, ends - np.array([size[i] for i in b]), ends[-1]
-        return pdf.drop(columns=["block"]).assign(sequence_id=np.int64(key[0]) * (1 << 32) + sequence, offset=offset, fill=fill)
+ISLAND = "block long, island int, size binary, people array<binary>, born array<int>"
+
+
+def _islands(capacity: int, done: int, work):
+    """Batches of island rows with `work(people, size, seed, island)` done on each row's population."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                size = np.frombuffer(row["size"], np.int32).astype(np.int64)
+                seed = zlib.crc32(row["size"]) + (row["island"] << 32) + (done << 40)
+                people = [Packing(np.frombuffer(p, np.int32).astype(np.int64), b) for p, b in zip(row["people"] or [], row["born"] or [], strict=True)]
+                if row.get("elite") is not None and people:
+                    people = [*people[:-1], Packing(np.frombuffer(row["elite"], np.int32).astype(np.int64), row["elite_born"])]
+                people = work(people, size, seed)
+                yield pa.RecordBatch.from_pylist([{k: row[k] for k in ("block", "island", "size")} | {"people": [p.bins.astype(np.int32).tobytes() for p in people], "born": [p.born for p in people]}], schema=ISLAND_ARROW)
 
     return run
 
 
+ISLAND_ARROW = pa.schema([("block", pa.int64()), ("island", pa.int32()), ("size", pa.binary()), ("people", pa.list_(pa.binary())), ("born", pa.list_(pa.int32()))])
+
+
+def evolved(sizes: DataFrame, capacity: int) -> Table:
+    """Island rows (block, island, size, people, born), best packing first, of blocks (block, size: int32 lengths, longest first)."""
+    start = sizes.select("block", F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "size", F.expr("cast(null AS array<binary>) AS people"), F.expr("cast(null AS array<int>) AS born"))
+    start = start.repartition(max(1, min(int(sizes.sparkSession.conf.get("spark.sql.shuffle.partitions")) * 4, ISLANDS * sizes.count())), "block", "island")
+    now = Table(start.mapInArrow(_islands(capacity, 0, lambda _, size, seed: evolve(settlers(size, capacity, seed), size, capacity, seed)), ISLAND), "islands")
+    for done in range(GENERATIONS, ROUNDS * GENERATIONS, GENERATIONS):
+        elites = now.df.select("block", F.pmod(F.col("island") + 1, F.lit(ISLANDS)).cast("int").alias("island"), F.col("people")[0].alias("elite"), F.col("born")[0].alias("elite_born"))
+        rows = now.df.join(elites, ["block", "island"])
+        after = Table(rows.mapInArrow(_islands(capacity, done, lambda people, size, seed, done=done: evolve(people, size, capacity, seed, done)), ISLAND), "islands")
+        now.drop()
+        now = after
+    return now
+
+
+def _placed(capacity: int, names: list[str]):
+    """Batches of blocks (block, pieces, size, the islands' best packings) as rows of pieces with the best packing's places."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                block, elites = batch.column(0)[i].as_py(), batch.column(3)[i].as_py()
+                size = np.frombuffer(batch.column(2)[i].as_py(), np.int32).astype(np.int64)
+                best = min((Packing(np.frombuffer(e["bins"], np.int32).astype(np.int64), e["born"]) for e in elites), key=lambda p: (*p.fitness(size, capacity), p.born, p.bins.tobytes()))
+                order = np.argsort(best.bins, kind="stable")
+                ends = np.cumsum(size[order])
+                fills = best.fills(size)
+                offset = np.empty(len(size), np.int64)
+                offset[order] = ends - size[order] - np.repeat(np.cumsum(fills) - fills, np.bincount(best.bins))
+                pieces = batch.column(1).slice(i, 1).flatten()
+                columns = [pieces.field(k) for k in range(len(names))]
+                columns += [pa.array(best.bins + (block << 32)), pa.array(offset), pa.array(fills[best.bins]), pa.array(np.full(len(size), best.born, np.int32))]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, "sequence_id", "offset", "fill", "generation"])
+
+    return run
+
+
+def _pack(pieces: DataFrame, n: int, base: int, capacity: int, names: list[str], shape: str) -> Table:
+    """The pieces (names, serial, length) packed in n blocks numbered from base: with sequence_id, offset, fill and generation."""
+    block = F.pmod(F.xxhash64("serial"), F.lit(n)) + F.lit(base)
+    # longest first; ties by what the piece is, so that its order doesn't hang on the deal
+    order = F.struct((-F.col("length")).alias("_longest"), F.col("ids_crc32").alias("_crc"), F.col("serial").alias("_serial"), F.struct(*(F.col(f"`{c}`") for c in names)).alias("p"))
+    dealt = pieces.groupBy(block.alias("block")).agg(F.sort_array(F.collect_list(order)).alias("s"))
+    little = lambda x: F.unhex(F.concat(*(F.lpad(F.hex(F.shiftright(x, 8 * k).bitwiseAND(F.lit(255))), 2, "0") for k in range(4))))
+    dealt = dealt.select("block", F.transform("s", lambda x: x["p"]).alias("pieces"), F.array_join(F.transform("s", lambda x: F.hex(little(x["p"]["length"].cast("int")))), "").alias("hex"))
+    blocks_ = Table(dealt.select("block", "pieces", F.unhex("hex").alias("size")), "blocks")
+    islands = evolved(blocks_.df.select("block", "size"), capacity)
+    elites = islands.df.groupBy("block").agg(F.collect_list(F.struct(F.col("people")[0].alias("bins"), F.col("born")[0].alias("born"))).alias("elites"))
+    out = Table(blocks_.df.join(elites, "block").select("block", "pieces", "size", "elites").mapInArrow(_placed(capacity, names), shape), "packed")
+    islands.drop()
+    blocks_.drop()
+    return out
+
+
 def pack_sequences(docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack all rows into as few sequences of at most `capacity` tokens as it can.
 
-    Per piece: id, piece, start, length, ids_crc32, sequence_id, offset. Null or empty
-    text has the end id alone (length 1). Rows with equal or null ids are packed as
-    documents of their own; other columns are ignored; an empty table gives none.
+    Per piece: id, piece, start, length, ids_crc32, sequence_id, offset, and the
+    generation of the genetic algorithm that made its block's packing (0: best fit
+    alone). Null or empty text has the end id alone (length 1). Rows with equal or null
+    ids are packed as documents of their own; other columns are ignored; an empty table
+    gives none.
     """
-    pieces = Table(tokenized_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col), "pieces")
-    shape = f"{pieces.schema.simpleString()[7:-1]}, sequence_id long, offset long, fill long".replace(f"{id_col}:", f"`{id_col}`:", 1)
-    deal = lambda df, n, base: df.withColumn("block", F.pmod(F.xxhash64(id_col, "piece", "ids_crc32"), F.lit(n)) + F.lit(base))
-    n = max(1, -(-pieces.df.count() // BLOCK))
-    packed = Table(deal(pieces.df, n, 0).groupBy("block").applyInPandas(_pack_block(capacity, id_col), shape), "packed")
+    made = tokenized_pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col)
+    pieces = Table(made.withColumn("serial", F.monotonically_increasing_id()), "pieces")  # deals equal rows too
+    names = [*made.columns, "serial"]
+    shape = f"{pieces.schema.simpleString()[7:-1]}, sequence_id long, offset long, fill long, generation int".replace(f"{id_col}:", f"`{id_col}`:", 1)
+    left, n_left, base, open_bins = pieces.df, pieces.df.count(), 0, None
+    done: list[DataFrame] = []
     is_open = F.col("fill") < int(OPEN_BELOW * capacity)
-    more = max(1, -(-packed.df.filter(is_open).count() // BLOCK))
-    again = deal(packed.df.filter(is_open).select(*pieces.df.columns), more, n).groupBy("block").applyInPandas(_pack_block(capacity, id_col), shape)
-    return packed.df.filter(~is_open).unionByName(again).drop("fill")
+    while n_left:
+        n = -(-n_left // BLOCK)
+        packed = _pack(left, n, base, capacity, names, shape)
+        base += n
+        still = packed.df.filter(is_open)
+        now = still.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("sequence_id").alias("bins")).first()
+        if n == 1 or now.n == 0 or (open_bins is not None and now.bins >= open_bins):
+            done.append(packed.df)
+            break
+        done.append(packed.df.filter(~is_open))
+        left, n_left, open_bins = still.select(*(f"`{c}`" for c in names)), now.n, now.bins
+    if not done:
+        return pieces.df.selectExpr("*", "0L AS sequence_id", "0L AS offset", "0 AS generation").drop("serial")
+    pieces.drop()
+    return reduce(DataFrame.unionByName, done).drop("serial", "fill")

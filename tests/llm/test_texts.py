@@ -8,7 +8,7 @@ import zlib
 import public_tokenizers
 import pytest
 from corvane.llm.mixing import min_cost_flow, mix_sources, water_fill
-from corvane.llm.packing import best_fit, crossover, evolve, pack_sequences, tokenized_pieces
+from corvane.llm.packing import crossover, evolve, pack_sequences, settlers, tokenized_pieces
 from corvane.llm.quality import score_documents, train
 from corvane.llm.queries import is_held_out
 from corvane.llm.secret_scan import _finding, encode, scan_secrets, trained
@@ -66,16 +66,66 @@ def test_packing_against_the_library(spark):
     assert pack_sequences(frame(spark, texts).filter("doc_id < 0"), path).count() == 0
 
 
-def test_genetic_packing_keeps_items_and_improves():
+def hard_sizes(seed, n=600):
     import numpy as np
 
-    size = random.Random(1).choices(range(1200, 2400), k=400)
-    first = best_fit(sorted(range(400), key=lambda i: -size[i]), size, 4096, [])
-    best = evolve(size, 4096)
-    child = crossover(first, best, size, 4096, np.random.default_rng(1))
-    for bins in (first, best, child):
-        assert sorted(i for b in bins for i in b) == list(range(400)) and max(sum(size[i] for i in b) for b in bins) <= 4096
-    assert len(best) <= len(first)
+    return np.sort(np.random.default_rng(seed).integers(1000, 2000, n))[::-1].copy()
+
+
+def test_genetic_packing_keeps_items():
+    import numpy as np
+
+    size = hard_sizes(1)
+    people = settlers(size, 4096, 1)
+    child = crossover(people[0], people[1], size, 4096, np.random.default_rng(1), 7)
+    assert child.born == 7
+    for packing in (*people, child, evolve(people, size, 4096, 1)[0]):
+        fills = packing.fills(size)
+        assert len(packing.bins) == len(size) and fills.sum() == size.sum() and 0 < fills.min() and fills.max() <= 4096
+    # bins of the other parent that were injected are there whole
+    whole = {frozenset(np.flatnonzero(child.bins == b)) for b in set(child.bins)} & {frozenset(np.flatnonzero(people[1].bins == b)) for b in set(people[1].bins)}
+    assert len(whole) >= 0.3 * len(people[1].fills(size))
+
+
+def test_crossover_frees_bins_that_best_fit_uses(monkeypatch):
+    size = hard_sizes(2)
+    people = settlers(size, 4096, 1)
+    best_fits = min(p.fitness(size, 4096)[0] for p in people)
+    found = evolve(people, size, 4096, 1, generations=15)[0]
+    assert found.fitness(size, 4096)[0] < best_fits and found.born > 0
+    monkeypatch.setattr("corvane.llm.packing.crossover", lambda one, *_: one)
+    assert evolve(people, size, 4096, 1, generations=15)[0].fitness(size, 4096)[0] == best_fits
+
+
+def test_islands_exchange_their_elites(spark):
+    from corvane.llm.packing import GENERATIONS, ISLANDS, ROUNDS, evolved
+
+    size = hard_sizes(3)
+    raw = size.astype("<i4").tobytes()
+    blocks = spark.createDataFrame([(5, bytearray(raw))], "block long, size binary")
+    got = {r.island: [bytes(p) for p in r.people] for r in evolved(blocks, 4096).df.collect()}
+    seed = lambda island, done: zlib.crc32(raw) + (island << 32) + (done << 40)
+
+    def plain(exchange):
+        held = [evolve(settlers(size, 4096, seed(i, 0)), size, 4096, seed(i, 0)) for i in range(ISLANDS)]
+        for done in range(GENERATIONS, ROUNDS * GENERATIONS, GENERATIONS):
+            elite = [people[0] for people in held]
+            held = [evolve([*people[:-1], elite[i - 1]] if exchange else people, size, 4096, seed(i, done), done) for i, people in enumerate(held)]
+        return {i: [p.bins.astype("<i4").tobytes() for p in people] for i, people in enumerate(held)}
+
+    assert got == plain(True) != plain(False)
+
+
+def test_open_bins_are_pooled_over_blocks(spark, monkeypatch):
+    monkeypatch.setattr("corvane.llm.packing.BLOCK", 40)
+    texts = ["word " * (37 * i % 61 + 1) for i in range(300)]
+    rows = pack_sequences(frame(spark, texts), public_tokenizers.path("word_bpe_49k.json"), capacity=128).collect()
+    assert len({r.sequence_id for r in rows}) <= 1.02 * -(-sum(r.length for r in rows) // 128) + 1
+    assert any(r.generation for r in rows) and len(rows) == len(texts)
+    # one text again and again, without an id: dealt to blocks of bounded size
+    same = spark.createDataFrame([(None, "word " * 9)] * 500, "doc_id long, text string")
+    rows = pack_sequences(same, public_tokenizers.path("word_bpe_49k.json"), capacity=128).collect()
+    assert len(rows) == 500 and len({r.sequence_id >> 32 for r in rows}) > 5
 
 
 def test_quality_on_held_out_rows(spark):
