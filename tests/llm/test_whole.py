@@ -5,7 +5,7 @@ import re
 
 from corvane.llm.fingerprint import fingerprint_documents
 from corvane.llm.mixing import min_cost_flow, mix_sources, words_given
-from corvane.llm.secret_scan import AFTER, BEFORE, _joined, scan_secrets, trained, windows
+from corvane.llm.secret_scan import AFTER, BEFORE, _joined, base_spans, corpus_findings, scan_secrets, trained, windows
 from corvane.plans.queries import QUERIES
 
 KEY = "a8Kd93kLm2Zq81nB7xYp05RtVwQe4TgHj2Lc6Nf9"
@@ -51,6 +51,24 @@ def test_secret_network_keeps_recall_on_joined_runs():
     assert sum(c for c, s in zip(caught, secret, strict=True) if not s) <= 0.03 * secret.count(False)
 
 
+def test_network_carries_the_learned_spans(spark, monkeypatch):
+    """Every candidate of the whole table is scored: tokens are found, words aren't, and without the network nothing is."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    found, contexts = corpus_findings(docs)
+    assert found and contexts and all(t[c:d] in t[a:b] for t, a, b, (c, d) in found)
+    assert (found, contexts) == corpus_findings(docs.repartition(5))
+    network = trained(found, contexts)
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    spans = {(r.doc_id, *map(int, s.split(":")[1:])) for r in scan_secrets(docs, network=network).collect() for s in r.spans.split(",") if s.startswith("learned")}
+    runs = [(i, m.start(), m.end()) for i, t in texts.items() if t for m in re.finditer(r"[A-Za-z0-9+/_.=-]{16,}", t)]
+    best = network.scaled(network.highest((texts[i], a, b) for i, a, b in runs))
+    assert spans == {r for r, p in zip(runs, best, strict=True) if p >= network.threshold}
+    touched = {(i, a, b) for i, a, b in runs if any(x < b and y > a for x, y, _ in base_spans(texts[i]))}
+    assert len(spans & touched) >= 0.95 * len(touched) > 0 and len(spans - touched) <= 0.01 * len(runs)
+    monkeypatch.setattr(network, "p", [p * 0 for p in network.p])
+    assert all(r.n_learned == 0 for r in scan_secrets(docs, network=network).collect())
+
+
 def test_edits_are_located_in_paragraphs_and_pieces(spark):
     line = "".join(f"Sentence number {n} of it. " for n in range(4)) + "\n"
     one = "".join(f"{k} {line}" for k in range(7))
