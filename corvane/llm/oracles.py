@@ -78,4 +78,30 @@ SELECT n.doc_id, n.n AS n_bytes, CAST(coalesce(t.removed, 0) AS BIGINT) AS n_rem
 FROM n JOIN kept ON kept.doc_id = n.doc_id LEFT JOIN t ON t.doc_id = n.doc_id
 """
 
-ORACLES = {"op2_chat_formatting": CHAT, "op3_ngram_jaccard_join": JACCARD, "op4_embedding_near_dedup": EMBEDDINGS, "op10_suffix_array_dedup": REPEATS}
+_TREE = """
+  list_transform(list_filter(regexp_extract_all({0}, '(?:[^\\n]|\\n[^\\n])*\\n\\n+|(?:[^\\n]|\\n[^\\n])+\\n?|\\n'), lambda x: x <> ''),
+    lambda s: list_transform(list_filter(regexp_extract_all(s, '[^\\n]*\\n+|[^\\n]+'), lambda x: x <> ''),
+      lambda p: list_transform(regexp_extract_all(p, '(?s).{{1,31}}?[.!?][ \\t\\n\\x0B\\f\\r]|(?s).{{1,32}}'), lambda x: sha256('L' || x))))"""
+_PARENT = "list_transform({0}, lambda s: sha256('{1}' || array_to_string(s, '')))"
+_DIFFERS = "list_position(list_transform(range(1, greatest(len({0}), len({1})) + 1), lambda i: ({0})[i] IS DISTINCT FROM ({1})[i]), true)"
+
+FINGERPRINTS = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lead(coalesce(text, '')) OVER (ORDER BY doc_id), first_value(coalesce(text, '')) OVER (ORDER BY doc_id)) AS next_text FROM documents),
+e AS (SELECT *, left(text, length(text) - length(text) // 2) || left(next_text, length(text) // 2) AS edited FROM d),
+t AS (SELECT *, {_TREE.format("text")} AS a, {_TREE.format("edited")} AS b, {_TREE.format("next_text")} AS c FROM e),
+p AS (SELECT *, list_transform(a, lambda s: {_PARENT.format("s", "P")}) AS pa, list_transform(b, lambda s: {_PARENT.format("s", "P")}) AS pb FROM t),
+s AS (SELECT *, {_PARENT.format("pa", "S")} AS sa, {_PARENT.format("pb", "S")} AS sb FROM p),
+f AS (SELECT *, coalesce({_DIFFERS.format("sa", "sb")}, 0) AS section FROM s),
+g AS (SELECT *, CASE WHEN section = 0 THEN 0 ELSE coalesce({_DIFFERS.format("coalesce(pa[section], [])", "coalesce(pb[section], [])")}, 0) END AS paragraph FROM f),
+l AS (SELECT doc_id, 'a' AS side, unnest(flatten(flatten(a))) AS leaf FROM t UNION ALL SELECT doc_id, 'b', unnest(flatten(flatten(b))) FROM t UNION ALL SELECT doc_id, 'c', unnest(flatten(flatten(c))) FROM t),
+m AS (SELECT doc_id, leaf, count(*) FILTER (side = 'a') AS a, count(*) FILTER (side = 'b') AS b, count(*) FILTER (side = 'c') AS c FROM l GROUP BY ALL),
+n AS (SELECT doc_id, sum(least(a, b)) AS ab, sum(a + b) AS all_ab, sum(least(a, c)) AS ac, sum(a + c) AS all_ac FROM m GROUP BY doc_id)
+SELECT g.doc_id, length(text) AS n_chars, sha256(edited) AS edited_sha256, sha256('R' || array_to_string(sa, '')) AS fingerprint, sha256('R' || array_to_string(sb, '')) AS edited_fingerprint,
+  CASE WHEN coalesce(all_ab, 0) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * ab::DOUBLE / all_ab::DOUBLE END AS near_edited,
+  CASE WHEN coalesce(all_ac, 0) = 0 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE * ac::DOUBLE / all_ac::DOUBLE END AS near_next,
+  len(sa) AS n_sections, section AS first_edited_section, paragraph AS first_edited_paragraph,
+  CASE WHEN paragraph = 0 THEN 0 ELSE coalesce({_DIFFERS.format("coalesce(coalesce(a[section], [])[paragraph], [])", "coalesce(coalesce(b[section], [])[paragraph], [])")}, 0) END AS first_edited_piece
+FROM g LEFT JOIN n ON n.doc_id = g.doc_id
+"""
+
+ORACLES = {"op2_chat_formatting": CHAT, "op3_ngram_jaccard_join": JACCARD, "op4_embedding_near_dedup": EMBEDDINGS, "op8_document_fingerprints": FINGERPRINTS, "op10_suffix_array_dedup": REPEATS}
