@@ -7,6 +7,7 @@ import zlib
 
 import public_tokenizers
 import pytest
+from brute import shares
 from corvane.llm.mixing import min_cost_flow, mix_sources, water_fill
 from corvane.llm.packing import crossover, evolve, pack_sequences, settlers, tokenized_pieces
 from corvane.llm.quality import score_documents, train
@@ -194,7 +195,7 @@ def test_mixing(spark, kind):
     assert len(got) == len(rows)
     size = {s: sum(len((t or "").split()) for _, x, t in rows if x == s) for s in sources}
     order = sorted((s for s in sources if s is not None), key=str.encode) + [None]
-    target = dict(zip(order, water_fill(1.5 * sum(size.values()), [5, 2, 1, 5, 2], [2 * size[s] for s in order]), strict=True))
+    target = dict(zip(order, shares(1.5 * sum(size.values()), [5, 2, 1, 5, 2], [2 * size[s] for s in order]), strict=True))
     for s in sources:
         mine = [r for r in got if (r.source[0] if kind == "array" else r.source) == s]
         assert {(r.source_size, round(r.target, 6)) for r in mine} == {(size[s], round(target[s], 6))}

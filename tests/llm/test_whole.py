@@ -3,6 +3,7 @@
 import random
 import re
 
+from brute import flow_by_single_paths, shares
 from corvane.llm.fingerprint import fingerprint_documents
 from corvane.llm.mixing import min_cost_flow, mix_sources, words_given
 from corvane.llm.secret_scan import AFTER, BEFORE, _joined, base_spans, corpus_findings, scan_secrets, trained, windows
@@ -98,24 +99,69 @@ def place(one, other):
     return tuple(found)
 
 
-def test_more_sources_than_the_flow_takes(spark, monkeypatch):
+def test_plans_beyond_the_broadcast_bound(spark, monkeypatch):
     docs = spark.createDataFrame([(i, f"s{i % 60}", "w " * (i % 7 + 1)) for i in range(600)], "doc_id long, source string, text string").repartition(3)
     want = sorted(mix_sources(docs, [5, 2, 1], 1.5).collect())
-    monkeypatch.setattr("corvane.llm.mixing.MAX_PATTERNS", 20)
+    monkeypatch.setattr("corvane.llm.mixing.BROADCAST_PATTERNS", 20)
+    monkeypatch.setattr("corvane.llm.mixing.BORDERS", 7)
     got = sorted(mix_sources(docs, [5, 2, 1], 1.5).collect())
     assert got == want and len({r.source for r in got}) == 60
 
 
+def test_flow_against_single_paths():
+    rng = random.Random(3)
+    for _ in range(200):
+        n = rng.randint(1, 8)
+        members = [sorted(rng.sample(range(n), rng.randint(1, n))) for _ in range(rng.randint(1, 12))]
+        supply, quota, copies = [rng.randint(0, 30) for _ in members], [rng.randint(0, 80) for _ in range(n)], rng.randint(1, 3)
+        plain, got = flow_by_single_paths(supply, members, quota, copies), min_cost_flow(supply, members, quota, copies)
+        cost = lambda given: sum(max(0, g - k * s) for g, s in zip(given, supply, strict=True) for k in range(1, copies))
+        assert sum(got) == sum(plain) and cost(got) == cost(plain) and all(0 <= g <= copies * s for g, s in zip(got, supply, strict=True))
+
+
 def test_flow_only_where_patterns_overlap():
     rng = random.Random(3)
     for _ in range(50):
         members = [[s] for s in range(6)] + [sorted(rng.sample(range(6, 10), rng.randint(1, 3))) for _ in range(4)]
         supply, quota = [rng.randint(0, 30) for _ in members], [rng.randint(0, 50) for _ in range(10)]
-        plain, got = min_cost_flow(supply, members, quota, 2), words_given(supply, members, quota, 2)
+        plain, got = flow_by_single_paths(supply, members, quota, 2), words_given(supply, members, quota, 2)
         again = lambda given: sum(max(0, g - n) for g, n in zip(given, supply, strict=True))
         assert got[:6] == plain[:6] and sum(got) == sum(plain) and again(got) == again(plain)
 
 
+def test_many_overlapping_patterns():
+    members = [[s, s + 1] for s in range(24_999)] + [[s] for s in range(25_000)]
+    supply, quota = [10] * len(members), [25 if s % 2 else 15 for s in range(25_000)]
+    given = words_given(supply, members, quota, 2)
+    assert sum(given) == sum(quota) and sum(max(0, g - 10) for g in given) <= sum(quota) - sum(supply) + 10 * 5
+
+
+def test_mixing_of_documents_in_several_sources(spark):
+    """End to end on overlapping sources: what patterns give is a least-cost flow, and what documents give adds up to it."""
+    rng = random.Random(9)
+    kinds = [["a"], ["b"], ["a", "b"], ["b", "c"], ["a", "b", "c"], ["d"], ["c", "d"], [None], ["a", None], []]
+    rows = [(i, rng.choice(kinds), " ".join("w" * rng.randint(1, 9))) for i in range(900)] + [(900 + i, ["a", "b"], "w w") for i in range(50)] + [(None, ["c"], "w"), (None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, source array<string>, text string").repartition(4)
+    got = mix_sources(docs, [5, 2, 1], 1.5).collect()
+    words = lambda t: len((t or "").split())
+    pattern = lambda s: tuple(sorted(set(s) if s is not None else {None}, key=lambda x: (x is not None, x or "")))
+    names = ["a", "b", "c", "d", None]
+    size = {n: sum(words(t) for _, s, t in rows if n in pattern(s)) for n in names}
+    target = dict(zip(names, shares(1.5 * sum(words(t) for *_, t in rows), [5, 2, 1, 5, 2], [2 * size[n] for n in names]), strict=True))
+    patterns = sorted({pattern(s) for _, s, _ in rows}, key=str)
+    supply = [sum(words(t) for _, s, t in rows if pattern(s) == p) for p in patterns]
+    plain = flow_by_single_paths(supply, [[names.index(x) for x in p] for p in patterns], [round(target[n]) for n in names], 2)
+    again = lambda given: sum(max(0, g - n) for g, n in zip(given, supply, strict=True))
+    taken = [sum(r.taken for r in got if pattern(r.source) == p) for p in patterns]
+    assert len(got) == len(rows) and all(r.taken in (0, r.size, 2 * r.size) for r in got)
+    assert abs(sum(taken) - sum(plain)) <= 5 * len(patterns) and abs(again(taken) - again(plain)) <= 5 * len(patterns)
+    assert any(0 < t < 2 * n for t, n in zip(taken, supply, strict=True)) and sum(taken) > 0
+    for r in got:
+        best = max(pattern(r.source), key=lambda n: size[n], default=None) if pattern(r.source) else None
+        assert r.source_size == (size[best] if pattern(r.source) else None) and (not pattern(r.source) or abs(r.target - target[best]) < 1e-6)
+    assert sorted(mix_sources(docs.repartition(7), [5, 2, 1], 1.5).collect(), key=str) == sorted(got, key=str)
+
+
 def test_queries_over_all_words_and_components(spark):
     sf_dir = "/root/testdata/sf0.001"
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
