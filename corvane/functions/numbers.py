@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
 from decimal import Decimal
 from typing import Any
 
@@ -113,14 +114,87 @@ def canonical_json(x: Any) -> str:
     return json.dumps(x, ensure_ascii=False)
 
 
-def number_text_column(x: Column) -> Column:
-    """number_text() of a numeric Column within decimal(38, 18); else the engine's own text."""
-    d = F.expr("NULL").cast("decimal(38,18)")
-    d = F.try_to_number(F.lit("x"), F.lit("9")) if d is None else x.cast("string").try_cast("decimal(38,18)")
-    text = d.cast("string")
-    return F.coalesce(F.regexp_replace(F.regexp_replace(text, r"(\.\d*?)0+$", "$1"), r"\.$", ""), x.cast("string"))
+def let(x: Column, body: Callable[[Column], Column]) -> Column:
+    """body(x), with x computed once however often the body reads it."""
+    return F.transform(F.array(x), body)[0]
+
+
+def shortest_text(x: Column) -> Column:
+    """The shortest digits that read back as the same double; the engine's own text may have one more."""
+    exact_at = lambda n: let(F.format_string(f"%.{n}e", x), lambda t: F.when(t.try_cast("double") == x, t))
+    few = F.when(F.abs(x) < 2.2250738585072014e-308, F.coalesce(*map(exact_at, range(14))))  # subnormal doubles hold fewer than 15
+    return F.coalesce(few, exact_at(14), exact_at(15), exact_at(16), x.cast("string"))
+
+
+def _printed(text: Column) -> Column:
+    """A number as the engine printed it; of doubles with an exponent the shortest text."""
+    return F.when(text.contains("E"), let(text.try_cast("double"), shortest_text)).otherwise(text)
+
+
+def _notation(text: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """body(sign, digits without zeros at either end, places of the digits before the point) of a JSON number's text."""
+    pattern = r"^(-?)(\d*)\.?(\d*)(?:[eE]([+-]?\d+))?$"
+
+    def parts(t: Column) -> Column:
+        part = lambda n: F.regexp_extract(t, pattern, n)
+        return F.struct(part(1).alias("sign"), F.concat(part(2), part(3)).alias("digits"), (F.length(part(2)) + F.coalesce(part(4).try_cast("int"), F.lit(0))).alias("point"))
+
+    def trimmed(p: Column) -> Column:
+        short = F.ltrim(p["digits"], F.lit("0"))
+        return F.struct(p["sign"].alias("sign"), F.rtrim(short, F.lit("0")).alias("digits"), (p["point"] - F.length(p["digits"]) + F.length(short)).alias("point"))
+
+    return let(_printed(text), lambda t: let(parts(t), lambda p: let(trimmed(p), lambda q: body(q["sign"], q["digits"], q["point"]))))
+
+
+def number_text_column(text: Column) -> Column:
+    """number_text() of a Column of JSON numbers as the engine prints them."""
+
+    def plain(sign: Column, digits: Column, point: Column) -> Column:
+        n = F.length(digits)
+        placed = (
+            F.when(point >= n, F.concat(digits, F.repeat(F.lit("0"), point - n)))
+            .when(point <= 0, F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits))
+            .otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
+        )
+        return F.when(n == 0, F.lit("0")).otherwise(F.concat(sign, placed))
+
+    return _notation(text, plain)
+
+
+#: Strings, numbers, and what is between them in JSON text.
+_TOKENS = r'"(?:[^"\\]|\\.)*+"|-?[0-9][0-9.eE+-]*|[^"0-9-]+'
 
 
 def variant_text(v: Column) -> Column:
-    """Canonical JSON of a VARIANT: keys sorted, whole doubles without fraction. SQL null stays null."""
-    return F.regexp_replace(F.to_json(v), r"(?<=[\[:,]|^)(-?\d+)\.0+(?=[\],}]|$)", "$1")
+    """Canonical JSON of a VARIANT: keys sorted, numbers outside strings as number_text() writes them. SQL null stays null."""
+    text = F.to_json(v)
+    tokens = F.regexp_extract_all(text, F.lit(_TOKENS), F.lit(0))
+    shortest = F.array_join(F.transform(tokens, lambda t: F.when(t.rlike("^-?[0-9]"), number_text_column(t)).otherwise(t)), "")
+    return F.when(text.rlike(r"[0-9][.eE]|-0"), shortest).otherwise(text)
+
+
+def is_multiple_column(text: Column, step: int | Decimal) -> Column:
+    """is_multiple() of a Column of number texts of at most 38 digits, exactly, for a step of at most 18 digits.
+
+    With x = n * 10 ** e and step = s * 10 ** f: where e >= f, n * 10 ** (e - f) is taken
+    modulo s by a table of powers; else s * 10 ** (f - e) has to divide n.
+    """
+    _, step_digits, f = Decimal(exact(step)).normalize().as_tuple()
+    s = int("".join(map(str, step_digits)))
+    constants = lambda numbers, kind: F.from_json(F.lit(json.dumps(numbers)), f"array<{kind}>")
+    powers = constants([pow(10, k, s) for k in range(MAX_POWER + 1)], "decimal(19,0)")
+    steps = [s * 10**k for k in range(39) if s * 10**k < 10**38]
+    whole = F.lit(Decimal(s)).cast("decimal(19,0)")
+
+    def divides(_: Column, digits: Column, point: Column) -> Column:
+        n = F.when(F.length(digits) == 0, F.lit(0)).otherwise(digits.try_cast("decimal(38,0)"))
+        up = point - F.length(digits) - f
+        rest = (n % whole).cast("decimal(18,0)") * F.get(powers, F.least(up, F.lit(MAX_POWER)))
+        down = F.get(constants(steps, "decimal(38,0)"), -up)
+        return F.when(n == 0, F.lit(True)).when(up >= 0, rest % whole == 0).when(-up >= len(steps), F.lit(False)).otherwise(n % down == 0)
+
+    return _notation(text, divides)
+
+
+#: Powers of ten between a step and a double.
+MAX_POWER = 700

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from corvane.functions import formats as formats_module
-from corvane.functions.numbers import canonical_json, exact, is_integral, is_number, variant_text
+from corvane.functions.numbers import canonical_json, exact, is_integral, is_multiple_column, is_number, variant_text
 from corvane.functions.patterns import search, search_column
 from corvane.plans.evaluator import Evaluator, Options, Seen, has_type
 from corvane.plans.model import Violation, escape, is_false, is_true, plain
@@ -318,12 +318,17 @@ class Lowering:
     def is_multiple(self, v: Value, step: Any) -> Predicate:
         if isinstance(v.dtype, INTEGERS) and is_integral(step) and abs(step) < 2**63:
             return v.col % F.lit(int(step)) == 0
-        x = v.decimal()
+        if isinstance(v.dtype, INTEGERS) and Decimal(exact(step)).as_tuple().exponent < 0:
+            return is_multiple_column(v.col.cast("string"), step)
         exact_step = Decimal(exact(step))
-        fits = -exact_step.as_tuple().exponent <= 18 and abs(exact_step) < 10**18
-        if not fits:
-            return F.coalesce(F.lit(float(step)) != 0, F.lit(False)) & (v.number() / F.lit(float(step)) == F.floor(v.number() / F.lit(float(step))))
-        return F.coalesce(x % F.lit(exact_step).cast("decimal(38,18)") == 0, v.number() % F.lit(float(step)) == 0, F.lit(False))
+        if len(exact_step.normalize().as_tuple().digits) > 18:
+            return v.number() / F.lit(float(step)) == F.floor(v.number() / F.lit(float(step)))
+        text = F.to_json(v.col) if v.dynamic else v.col.cast("string")
+        plain = is_multiple_column(text, step)
+        if -exact_step.as_tuple().exponent > 18 or abs(exact_step) >= 10**18:
+            return plain
+        x = v.decimal()  # where it is the number itself, its remainder tells
+        return F.when(F.coalesce(x.cast("double") == v.number().cast("double"), F.lit(False)) & (F.abs(x) < 10**15), x % F.lit(exact_step).cast("decimal(38,18)") == 0).otherwise(plain)
 
     def has_type(self, v: Value, name: str) -> Predicate:
         if name == "number":
@@ -339,6 +344,11 @@ class Lowering:
         whole = F.coalesce(x == F.floor(x), F.lit(False)) if not isinstance(v.dtype, (T.DoubleType, T.FloatType)) else ~F.isnan(v.col) & (F.abs(v.col) < float("inf")) & (x == F.rint(x))
         return both(numeric, whole)
 
+    @staticmethod
+    def constant(member: Any) -> Column:
+        """A member as the engine itself writes its canonical JSON."""
+        return variant_text(F.parse_json(F.lit(canonical_json(member))))
+
     def is_one_of(self, v: Value, members: list) -> Predicate:
         if v.kind == "string":
             strings = [m for m in members if isinstance(m, str)]
@@ -356,13 +366,13 @@ class Lowering:
             members = [m for m in members if isinstance(m, list if v.kind == "array" else dict)]
             if not members:
                 return False
-            return variant_text(F.try_parse_json(v.json())).isin([canonical_json(m) for m in members])
+            return variant_text(F.try_parse_json(v.json())).isin([self.constant(m) for m in members])
         strings, numbers, rest = [m for m in members if isinstance(m, str)], [m for m in members if is_number(m)], [m for m in members if not isinstance(m, str) and not is_number(m)]
         number = v.number()
         return either(
             both(v.is_kind("string"), F.coalesce(v.text().isin(strings), F.lit(False))) if strings else False,
             *(both(v.is_kind("number"), F.coalesce(number == literal(m), F.lit(False))) for m in numbers),
-            both(negate(either(v.is_kind("string"), v.is_kind("number"))), F.coalesce(variant_text(v.col).isin([canonical_json(m) for m in rest]), F.lit(False))) if rest else False,
+            both(negate(either(v.is_kind("string"), v.is_kind("number"))), F.coalesce(variant_text(v.col).isin([self.constant(m) for m in rest]), F.lit(False))) if rest else False,
         )
 
     def text_checks(self, s: dict, v: Value, asserts: bool, applies: bool, scopes: tuple, open_: tuple):
