@@ -121,9 +121,9 @@ def let(x: Column, body: Callable[[Column], Column]) -> Column:
 
 def shortest_text(x: Column) -> Column:
     """The shortest digits that read back as the same double; the engine's own text may have one more."""
-    exact_at = lambda n: let(F.format_string(f"%.{n}e", x), lambda t: F.when(t.try_cast("double") == x, t))
-    few = F.when(F.abs(x) < 2.2250738585072014e-308, F.coalesce(*map(exact_at, range(14))))  # subnormal doubles hold fewer than 15
-    return F.coalesce(few, exact_at(14), exact_at(15), exact_at(16), x.cast("string"))
+    formats = F.array(*(F.lit(f"%.{n}e") for n in range(17)))
+    texts = F.transform(formats, lambda f: F.call_function("format_string", f, x))
+    return F.coalesce(F.get(F.filter(texts, lambda t: t.try_cast("double") == x), F.lit(0)), x.cast("string"))
 
 
 def _printed(text: Column) -> Column:
