@@ -1,59 +1,45 @@
 """Chat formatting: link tool calls to results, order them, validate arguments, serialise canonical JSON.
 
 Events are messages, calls and results. Calls and results are hash-joined by
-(conversation, call id). A call may name results it needs, as {"$result": "<call id>"}
-in its arguments; its level is one more than the highest level among those calls, and
-a result has its call's level, so order by (level, turn, step) is topological.
-Arguments are validated against a schema for each tool, compiled to one Column.
+(conversation, call id): every join on that key is hinted as a shuffled hash join. A call
+may name results it needs, as {"$result": "<call id>"} in its arguments; its level is one
+more than the highest level among those calls, and a result has its call's level, so
+order by (level, turn, step) is topological. Arguments are validated against a JSON
+Schema for each tool, compiled to one Column.
 Only DataFrame functions are used, and no step gathers a conversation in one task.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from corvane.functions.numbers import variant_text
 from corvane.llm.shared import Table
+from corvane.plans.lower import Lowering, Value, as_column
+from corvane.plans.model import SchemaError
 
-#: VARIANT type names of JSON's types.
-TYPES = {"string": "STRING", "boolean": "BOOLEAN", "number": "BIGINT|DOUBLE|DECIMAL.*|FLOAT", "object": "OBJECT.*", "array": "ARRAY.*", "null": "VOID"}
+
+class _Columns(Lowering):
+    """Schemas as Columns alone: what needs a Python worker is refused."""
+
+    def evaluated(self, s: Any, v: Value) -> Column:
+        raise SchemaError("a recursive schema has no finite Column")
 
 
 def valid_against(value: Column, schema: dict[str, Any]) -> Column:
-    """Whether a VARIANT meets a schema of type, enum, minimum, maximum, minLength, maxLength, required, properties, additionalProperties and items. Never null; a missing value fails."""
-    checks = [value.isNotNull()]
-    kind = F.coalesce(F.schema_of_variant(value), F.lit(""))
-    number, text = F.try_variant_get(value, "$", "double"), F.when(kind == "STRING", F.try_variant_get(value, "$", "string"))
-    numeric = kind.rlike(f"^({TYPES['number']})$")
-    if "type" in schema:
-        names = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
-        fits = kind.rlike("^(" + "|".join(TYPES[n] for n in names if n != "integer") + ")$") & (kind != "")
-        checks.append(fits | (numeric & F.coalesce(number == F.floor(number), F.lit(False))) if "integer" in names else fits)
-    for key, test in (("minimum", lambda b: number >= b), ("maximum", lambda b: number <= b)):
-        if key in schema:
-            checks.append(~numeric | F.coalesce(test(F.lit(float(schema[key]))), F.lit(False)))
-    for key, test in (("minLength", lambda b: F.length(text) >= b), ("maxLength", lambda b: F.length(text) <= b)):
-        if key in schema:
-            checks.append(F.coalesce(test(F.lit(schema[key])), F.lit(True)))
-    if "enum" in schema:
-        checks.append(F.coalesce(text.isin([x for x in schema["enum"] if isinstance(x, str)]), F.lit(False)))
-    is_object = kind.rlike("^OBJECT.*$")
-    member = lambda name: F.try_variant_get(value, f"$['{name}']", "variant")
-    for name in schema.get("required", []):
-        checks.append(~is_object | member(name).isNotNull())
-    for name, sub in schema.get("properties", {}).items():
-        checks.append(~is_object | member(name).isNull() | valid_against(member(name), sub))
-    if schema.get("additionalProperties") is False:
-        names = F.map_keys(F.try_variant_get(value, "$", "map<string,variant>"))
-        checks.append(~is_object | (F.size(F.array_except(names, F.array(*(F.lit(n) for n in schema.get("properties", {}))).cast("array<string>"))) == 0))
-    if "items" in schema:
-        checks.append(F.coalesce(F.forall(F.try_variant_get(value, "$", "array<variant>"), lambda x: valid_against(x, schema["items"])), F.lit(True)))
-    out = checks[0]
-    for check in checks[1:]:
-        out = out & F.coalesce(check, F.lit(False))
-    return out
+    """Whether a VARIANT meets a JSON Schema, all keywords of draft 2020-12 but formats. Never null; a missing value fails."""
+    lowering = _Columns(schema)
+    return value.isNotNull() & F.coalesce(as_column(lowering.pred(lowering.schema, Value(value, T.VariantType(), False))), F.lit(False))
+
+
+def hash_join(left: DataFrame, right: DataFrame, key: list[str], how: str = "inner") -> DataFrame:
+    """The join with a hash table of the right side's partitions."""
+    return left.join(right.hint("shuffle_hash"), key, how)
 
 
 def call_levels(calls: DataFrame) -> DataFrame:
@@ -67,23 +53,31 @@ def call_levels(calls: DataFrame) -> DataFrame:
     """
     key = ["conv_id", "call_id"]
     known = calls.select("conv_id", F.col("call_id").alias("to"))
-    links = calls.select(*key, F.explode("needs").alias("to")).distinct().join(known, ["conv_id", "to"], "left_semi")
+    links = calls.select(*key, F.explode("needs").alias("to")).distinct().transform(hash_join, known, ["conv_id", "to"], "left_semi")
     links = Table(links, "needs")
-    roots = Table(calls.select(*key).join(links.df.select(*key).distinct(), key, "left_anti"), "roots")
+    roots = Table(hash_join(calls.select(*key), links.df.select(*key).distinct(), key, "left_anti"), "roots")
     ends = roots.df.select("conv_id", F.col("call_id").alias("to"), F.lit(True).alias("end"))
-    steps = Table(links.df.join(ends, ["conv_id", "to"], "left").select(*key, "to", F.lit(1).cast("long").alias("steps"), F.coalesce("end", F.lit(False)).alias("end")), "steps")
+    steps = hash_join(links.df, ends, ["conv_id", "to"], "left").select(*key, "to", F.lit(1).cast("long").alias("steps"), F.coalesce("end", F.lit(False)).alias("end"))
+    steps = Table(steps, "steps")
+    ended = [steps]  # each round writes only what came to an end in it, and what goes on
     most = calls.groupBy("conv_id").count().agg(F.max("count")).first()[0] or 0
+    hops = steps.df
     for _ in range(most.bit_length()):
         going = steps.df.filter(~F.col("end"))
         if going.isEmpty():
             break
-        hop = steps.df.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("end").alias("ends"))
-        moved = going.join(hop, ["conv_id", "to"]).select(*key, F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("end"))
-        after = Table(steps.df.filter("end").unionByName(moved).groupBy(*key, "to").agg(F.max("steps").alias("steps"), F.max("end").alias("end")), "steps")
-        steps.drop()
-        steps = after
-    levels = steps.df.groupBy(*key).agg(F.max("steps").cast("int").alias("level"), F.bool_and("end").alias("_ended")).filter("_ended").drop("_ended")
-    return roots.df.withColumn("level", F.lit(0)).unionByName(levels)
+        hop = hops.select("conv_id", F.col("call_id").alias("to"), F.col("to").alias("next"), F.col("steps").alias("more"), F.col("end").alias("ends"))
+        moved = hash_join(going, hop, ["conv_id", "to"]).select(*key, F.col("next").alias("to"), (F.col("steps") + F.col("more")).alias("steps"), F.col("ends").alias("end"))
+        steps = Table(moved.groupBy(*key, "to").agg(F.max("steps").alias("steps"), F.max("end").alias("end")), "steps")
+        ended.append(steps)
+        # a call's targets after this round: those that had ended, and where the others got to
+        hops = reduce(DataFrame.unionByName, [t.df.filter("end") for t in ended[:-1]], steps.df)
+    every = reduce(DataFrame.unionByName, [t.df.filter("end") for t in ended], steps.df.filter(~F.col("end")))
+    levels = every.groupBy(*key).agg(F.max("steps").cast("int").alias("level"), F.bool_and("end").alias("_ended")).filter("_ended").drop("_ended")
+    out = Table(roots.df.withColumn("level", F.lit(0)).unionByName(levels), "levels")
+    for table in (links, roots, *ended):
+        table.drop()
+    return out.df
 
 
 def format_chat(events: DataFrame, tools: dict[str, dict[str, Any]]) -> DataFrame:
@@ -95,7 +89,7 @@ def format_chat(events: DataFrame, tools: dict[str, dict[str, Any]]) -> DataFram
     call, of the first call for a result; null if there is none), level, step (0, or 1
     for results), status ("plain", "linked", "open" call, "orphan" result, "cyclic"),
     valid (1 or 0 for calls, else null), message (canonical JSON: keys sorted at every
-    level, nulls left out). Arguments that aren't JSON are invalid and are written as a
+    level, numbers in shortest plain notation, nulls of the event left out). Arguments that aren't JSON are invalid and are written as a
     string. A null or empty conv_id or call_id links with nothing. Of several calls
     with one id the earliest counts. Other columns are ignored; no events give none.
     """
@@ -104,11 +98,11 @@ def format_chat(events: DataFrame, tools: dict[str, dict[str, Any]]) -> DataFram
     is_call, is_result = F.col("kind") == "call", F.col("kind") == "result"
     usable = F.col("conv_id").isNotNull() & F.col("call_id").isNotNull() & (F.col("call_id") != "")
     first = F.min(F.struct("turn", "arguments"))
-    calls = events.filter(is_call & usable).groupBy(key).agg(first.alias("c")).select(*key, F.col("c.turn").alias("call_turn"), needs_of("c.arguments").alias("needs"))
+    calls = Table(events.filter(is_call & usable).groupBy(key).agg(first.alias("c")).select(*key, F.col("c.turn").alias("call_turn"), needs_of("c.arguments").alias("needs")), "calls").df
     results = events.filter(is_result & usable).groupBy(key).agg(F.min("turn").alias("result_turn"))
     levels = call_levels(calls.select(*key, "needs"))
-    linked = calls.drop("needs").join(results, key, "left").join(levels, key, "left")
-    rows = events.join(linked.unionByName(results.join(calls, key, "left_anti").withColumns({"call_turn": F.lit(None).cast(linked.schema["call_turn"].dataType), "level": F.lit(None).cast("int")})), key, "left")
+    linked = hash_join(hash_join(calls.drop("needs"), results, key, "left"), levels, key, "left")
+    rows = hash_join(events, linked.unionByName(hash_join(results, calls, key, "left_anti").withColumns({"call_turn": F.lit(None).cast(linked.schema["call_turn"].dataType), "level": F.lit(None).cast("int")})), key, "left")
     has_call = F.col("call_turn").isNotNull() & usable
     other = F.when(is_call & usable, F.col("result_turn")).when(is_result & usable, F.col("call_turn"))
     status = (
@@ -121,9 +115,9 @@ def format_chat(events: DataFrame, tools: dict[str, dict[str, Any]]) -> DataFram
     valid = F.lit(False)
     for name, schema in tools.items():
         valid = F.when(F.col("name") == name, valid_against(value, schema)).otherwise(valid)
-    text = F.when(is_call, F.to_json(F.struct(
-        F.coalesce(value, F.to_variant_object(F.struct(F.col("arguments").alias("raw")))).alias("arguments"), F.col("call_id").alias("id"), F.col("name"), F.col("role"), F.lit("call").alias("type"),
-    ))).when(is_result, F.to_json(F.struct(F.col("call_id"), F.col("content"), F.col("role"), F.lit("result").alias("type")))).otherwise(
+    rest = F.to_json(F.struct(F.col("call_id").alias("id"), F.col("name"), F.col("role"), F.lit("call").alias("type")))
+    raw = F.when(F.col("arguments").isNull(), F.lit("{}")).otherwise(F.to_json(F.struct(F.col("arguments").alias("raw"))))
+    text = F.when(is_call, F.concat(F.lit('{"arguments":'), F.coalesce(variant_text(value), raw), F.lit(","), F.substring(rest, F.lit(2), F.length(rest)))).when(is_result, F.to_json(F.struct(F.col("call_id"), F.col("content"), F.col("role"), F.lit("result").alias("type")))).otherwise(
         F.to_json(F.struct(F.col("content"), F.col("role"), F.lit("message").alias("type")))
     )
     return rows.select(
@@ -133,8 +127,12 @@ def format_chat(events: DataFrame, tools: dict[str, dict[str, Any]]) -> DataFram
 
 
 def needs_of(arguments: str) -> Column:
-    """The call ids that arguments name as {"$result": id}."""
-    return F.regexp_extract_all(F.coalesce(F.col(arguments), F.lit("")), F.lit(r'"\$result"\s*:\s*"([^"]+)"'), F.lit(1))
+    """The call ids that arguments name as {"$result": id}, at any depth: a member's name or a string is one token of the JSON."""
+    string = r'"(?:[^"\\]|\\.)*+"'
+    tokens = F.regexp_extract_all(F.to_json(F.try_parse_json(arguments)), F.lit(rf'"\$result":{string}|{string}'), F.lit(0))
+    named = F.filter(tokens, lambda t: t.startswith('"$result":"'))
+    ids = F.transform(named, lambda t: F.from_json(F.concat(F.lit("["), F.substring(t, F.lit(11), F.length(t)), F.lit("]")), "array<string>")[0])
+    return F.coalesce(F.filter(ids, lambda i: i != ""), F.array().cast("array<string>"))
 
 
 def events_of_turns(turns: DataFrame) -> DataFrame:

@@ -13,6 +13,7 @@ from corvane.llm.chat import format_chat, valid_against
 from corvane.llm.components import components
 from corvane.llm.embed_dedup import link_embeddings
 from corvane.llm.fingerprint import fingerprint_documents, with_next
+from corvane.plans.model import SchemaError
 from pyspark.sql import functions as F
 
 
@@ -118,6 +119,33 @@ def test_chat(spark):
     assert format_chat(events.filter("turn > 99"), TOOLS).count() == 0
 
 
+def test_escaped_ids_any_enum_and_one_text_for_a_number(spark):
+    tools = {"t": {"properties": {"n": {"enum": [3, 4.50, None, [1.0], {"a": "x"}]}, "c": {"const": 1e20}, "s": {"pattern": "^a", "not": {"const": "ab"}}, "l": {"contains": {"type": "integer", "exclusiveMinimum": 2}, "uniqueItems": True}}}}
+    shape = "conv_id string, turn long, role string, kind string, call_id string, name string, arguments string, content string"
+    ids = ['a"b', "a\\", "é", "x y", '"$result":"a']
+    rows = [("c", i, "assistant", "call", x, "t", "{}", None) for i, x in enumerate(ids)]
+    rows += [("c", 10 + i, "assistant", "call", f"n{i}", "t", json.dumps({"deep": [{"$result": x, "more": 1}]}), None) for i, x in enumerate(ids)]
+    # what only looks like a reference: inside a string, as a name's end, with a value that is no string
+    rows += [("c", 20 + i, "assistant", "call", f"p{i}", "t", a, None) for i, a in enumerate([json.dumps({"q": '{"$result":"é"}'}), json.dumps({'x"$result': "é"}), '{"$result":5,"y":"é"}', '{"$result":["é"]}', '{"$result":""}', "[]"])]
+    checks = {'{"n":3}': 1, '{"n":3.0}': 1, '{"n":4.5}': 1, '{"n":null}': 1, '{"n":[1]}': 1, '{"n":{"a":"x"}}': 1, '{"n":"3"}': 0, '{"n":5}': 0, '{"c":100000000000000000000}': 1, '{"c":1e20}': 1, '{"s":"ac"}': 1, '{"s":"ab"}': 0, '{"s":"b"}': 0, '{"l":[1,3]}': 1, '{"l":[3,3.0]}': 0, '{"l":[2]}': 0}
+    rows += [("d", i, "assistant", "call", f"k{i}", "t", a, None) for i, a in enumerate(checks)]
+    got = {(r.conv_id, r.turn): r for r in format_chat(spark.createDataFrame(rows, shape), tools).collect()}
+    assert [got["c", 10 + i].level for i in range(len(ids))] == [1] * len(ids)
+    assert [got["c", 20 + i].level for i in range(6)] == [0] * 6 and all(got["c", i].status == "open" for i in [0, 10, 20, 25])
+    assert {a: got["d", i].valid for i, a in enumerate(checks)} == checks
+    texts = {json.loads(r.message)["id"]: r.message for (c, _), r in got.items() if c == "d"}
+    assert texts["k8"].partition(',"id"')[0] == texts["k9"].partition(',"id"')[0] == '{"arguments":{"c":100000000000000000000}'
+    with pytest.raises(SchemaError):
+        valid_against(F.col("v"), {"properties": {"x": {"$ref": "#"}}})
+
+
+def test_calls_and_results_are_hash_joined(spark):
+    shape = "conv_id string, turn long, role string, kind string, call_id string, name string, arguments string, content string"
+    events = spark.createDataFrame([("c", 1, "a", "call", "k", "add", "{}", None), ("c", 2, "t", "result", "k", None, None, "x")], shape)
+    plan = format_chat(events, TOOLS)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") >= 3 and "SortMergeJoin" not in plan and "BroadcastHashJoin" not in plan and "Python" not in plan and "Pandas" not in plan
+
+
 def test_levels_of_long_chains_and_diamonds(spark):
     from corvane.llm.chat import call_levels
 
