@@ -3,9 +3,10 @@
 Vectors are scaled to length one, so a cosine of s is a distance of r = sqrt(2 - 2 s).
 Equal vectors of a label become one class first, so groups of copies cost one row.
 
-1. Coarse centroids and, on the residuals, a codebook for each subspace are fitted by
-   k-means on the driver, on at most SAMPLE classes of smallest hash. They are small
-   and are broadcast; every class is indexed, whatever the sample.
+1. For each length of vectors, coarse centroids and, on the residuals, a codebook for each
+   subspace are fitted by k-means on the driver, on at most SAMPLE classes of smallest
+   hash, or SAMPLE_A_LIST for each list wanted, up to MOST_SAMPLE. They are small and are
+   sent to the tasks; every class is indexed, whatever the sample.
 2. Each class is stored in the inverted list of its nearest centroid as a code and the
    length of its residual's remainder. It probes each list whose cell a linked vector
    can be in: where its distance to the plane between the two centroids is at most
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -35,7 +37,7 @@ from pyspark.sql import functions as F
 from corvane.llm.components import components
 from corvane.llm.shared import Table
 
-SAMPLE = 20_000
+SAMPLE, SAMPLE_A_LIST, MOST_SAMPLE = 20_000, 8, 200_000
 SUBSPACES, WORDS, ROUNDS = 8, 64, 6
 LIST_ROWS, BLOCK_ROWS = 512, 1024
 SLACK, SPREAD = 1e-6, 5.0
@@ -45,6 +47,16 @@ SLACK, SPREAD = 1e-6, 5.0
 class Index:
     coarse: np.ndarray  # lists x dim
     books: np.ndarray  # subspaces x words x (dim / subspaces)
+    reach: float = 0.0  # how far behind a plane between two lists a linked vector can be
+
+    @cached_property
+    def apart(self) -> np.ndarray:
+        """Distances between the centroids, made where they are needed."""
+        square = (self.coarse**2).sum(1)
+        return np.sqrt(np.maximum(square[:, None] + square - 2 * self.coarse @ self.coarse.T, 0))
+
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k != "apart"}
 
 
 def _k_means(x: np.ndarray, k: int, rng: np.random.Generator) -> np.ndarray:
@@ -91,7 +103,7 @@ def probes(index: Index, x: np.ndarray, radius: float) -> tuple[np.ndarray, np.n
     """(nearest list of each row; row and list of every probe: lists with a plane within the radius)."""
     distance = (x**2).sum(1)[:, None] - 2 * x @ index.coarse.T + (index.coarse**2).sum(1)
     near = distance.argmin(1)
-    apart = np.sqrt(np.maximum(((index.coarse[near][:, None] - index.coarse[None]) ** 2).sum(2), 0))
+    apart = index.apart[near]
     plane = (distance - distance[np.arange(len(x)), near][:, None]) / np.maximum(2 * apart, 1e-12)
     plane[np.arange(len(x)), near] = 0
     return near, *np.nonzero(plane <= radius + SLACK)
@@ -133,13 +145,14 @@ def spanning(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.stack([names[keep], names[label[keep]]], 1).reshape(-1, 2)
 
 
-def _meet(index: Index, least: float):
+def _meet(indexes: dict[int, Index], least: float):
     """A block's task. Returns kind 0 (class, vectors of other classes linked) and kind 1 (class, class): a spanning forest."""
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         vectors = np.stack(pdf["v"].to_list())
         stored, node, times = pdf["stored"].to_numpy(), pdf["node"].to_numpy(), pdf["times"].to_numpy()
-        centre = index.coarse[key[1]]
+        index = indexes[key[1]]
+        centre = index.coarse[key[2]]
         own, probing = vectors[stored], vectors[~stored]
         a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
         if len(own) and len(probing):
@@ -156,6 +169,16 @@ def _meet(index: Index, least: float):
     return run
 
 
+def _fitted(classes: DataFrame, largest: int, sample: int, least: float) -> Index:
+    """The index for classes of one length, of whose labels the largest has `largest`."""
+    lists = max(1, largest // LIST_ROWS)
+    picked = classes.orderBy("key").limit(min(max(sample, SAMPLE_A_LIST * lists), MOST_SAMPLE)).select("v").toArrow()["v"].combine_chunks()
+    x = unit_rows(picked.flatten().to_numpy(zero_copy_only=False).reshape(len(picked), -1))
+    index = fit_index(x, min(lists, max(1, len(x) // SAMPLE_A_LIST)))
+    index.reach = float(np.sqrt(max(0.0, 2 - 2 * least))) * min(1.0, SPREAD / len(picked[0]) ** 0.5)
+    return index
+
+
 def link_embeddings(vectors: DataFrame, least: float = 0.98, sample: int = SAMPLE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """Per row: id, n_links (other rows linked directly), component_id (least id reachable, itself included), kept (id = component_id).
 
@@ -171,48 +194,40 @@ def link_embeddings(vectors: DataFrame, least: float = 0.98, sample: int = SAMPL
     # a class: the rows of one label and one vector; negative zero became zero
     named = rows.withColumn("key", F.when(F.col("v").isNotNull(), F.sha2(F.to_json(F.struct("label", "v")), 256)))
     classes = named.filter("key is not null").groupBy("key").agg(F.min(id_col).alias("first"), F.count(F.lit(1)).alias("times"), F.any_value("label").alias("label"), F.any_value("v").alias("v"))
-    classes = Table(classes.withColumn("node", F.xxhash64("key")), "classes")
-    picked = classes.df.orderBy("node", "key").limit(sample).select("v").toArrow()["v"].to_pylist()
-    n = classes.df.count()
+    classes = Table(classes.withColumns({"node": F.monotonically_increasing_id(), "length": F.size("v")}), "classes")
+    kinds = classes.df.groupBy("label", "length").count().groupBy("length").agg(F.max("count").alias("largest")).collect()  # links stay inside labels
     linked = None
-    if n:
-        size = max(map(len, picked))
-        x = unit_rows(np.array([v for v in picked if len(v) == size]))
-        largest = classes.df.groupBy("label").count().agg(F.max("count")).first()[0]  # links stay inside labels
-        index = fit_index(x, max(1, min(largest // LIST_ROWS, len(x) // 8, 4096)))
-        reach = float(np.sqrt(max(0.0, 2 - 2 * least))) * min(1.0, SPREAD / size**0.5)
+    if kinds:
+        indexes = {k.length: _fitted(classes.df.filter(F.col("length") == k.length), k.largest, sample, least) for k in kinds}
 
         def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 lengths = np.array(batch.column(3).value_lengths())
                 flat = batch.column(3).flatten().to_numpy(zero_copy_only=False)
                 begin = np.cumsum(lengths) - lengths
-                for length in np.unique(lengths):
-                    every = np.flatnonzero(lengths == length)
+                for length in np.unique(lengths).tolist():
+                    every, index = np.flatnonzero(lengths == length), indexes[length]
                     for at in np.array_split(every, -(-len(every) // 512)):
                         unit = unit_rows(flat[begin[at][:, None] + np.arange(length)])
-                        if unit.shape[1] == index.coarse.shape[1] and length == size:
-                            near, who, where = probes(index, unit, reach)
-                        else:  # another length: one list of its own, which its own kind probes
-                            near, who, where = np.full(len(at), -length), np.arange(len(at)), np.full(len(at), -length)
+                        near, who, where = probes(index, unit, index.reach)
                         row = np.concatenate([np.arange(len(at)), who])
                         stored = np.repeat([True, False], [len(at), len(who)])
                         line = np.concatenate([near, where]).astype(np.int32)
                         take = pa.array(at[row])
-                        yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(line), pa.array(stored), pa.array(list(unit[row]), pa.list_(pa.float64()))], names=["label", "node", "times", "list", "stored", "v"])
+                        columns = [batch.column(0).take(take), batch.column(1).take(take), batch.column(2).take(take), pa.array(np.full(len(row), length, np.int32)), pa.array(line), pa.array(stored), pa.array(list(unit[row]), pa.list_(pa.float64()))]
+                        yield pa.RecordBatch.from_arrays(columns, names=["label", "node", "times", "length", "list", "stored", "v"])
 
         kind = vectors.schema[label_col].dataType.simpleString()
-        assigned = Table(classes.df.select("label", "node", "times", "v").mapInArrow(assign, f"label {kind}, node long, times long, list int, stored boolean, v array<double>"), "assigned")
-        counts = assigned.df.groupBy("label", "list").agg(F.ceil(F.count_if("stored") / BLOCK_ROWS).cast("int").alias("own"), F.ceil(F.count_if(~F.col("stored")) / BLOCK_ROWS).cast("int").alias("others"))
-        dealt = assigned.df.join(counts, ["label", "list"]).filter("own > 0")
+        assigned = Table(classes.df.select("label", "node", "times", "v").mapInArrow(assign, f"label {kind}, node long, times long, length int, list int, stored boolean, v array<double>"), "assigned")
+        counts = assigned.df.groupBy("label", "length", "list").agg(F.ceil(F.count_if("stored") / BLOCK_ROWS).cast("int").alias("own"), F.ceil(F.count_if(~F.col("stored")) / BLOCK_ROWS).cast("int").alias("others"))
+        dealt = assigned.df.join(counts, ["label", "length", "list"]).filter("own > 0")
         mine = F.pmod(F.xxhash64("node"), F.when(F.col("stored"), F.col("own")).otherwise(F.col("others"))).cast("int")
         # a block of stored rows meets every block of probing rows of its list
         spread = F.sequence(F.lit(0), F.when(F.col("stored"), F.col("others")).otherwise(F.col("own")) - 1)
-        dealt = dealt.filter("others > 0").select("label", "list", "node", "times", "stored", "v", mine.alias("mine"), F.explode(spread).alias("other"))
+        dealt = dealt.filter("others > 0").select("label", "length", "list", "node", "times", "stored", "v", mine.alias("mine"), F.explode(spread).alias("other"))
         dealt = dealt.withColumn("block", F.when(F.col("stored"), F.struct(F.col("mine").alias("s"), F.col("other").alias("p"))).otherwise(F.struct(F.col("other").alias("s"), F.col("mine").alias("p")))).drop("mine", "other")
-        same = dealt.filter("list >= 0").groupBy("label", "list", "block").applyInPandas(_meet(index, least), "kind byte, x long, y long")
-        odd = dealt.filter("list < 0").groupBy("label", "list", "block").applyInPandas(_meet_plain(least), "kind byte, x long, y long")
-        linked = Table(same.unionByName(odd), "linked")
+        linked = Table(dealt.groupBy("label", "length", "list", "block").applyInPandas(_meet(indexes, least), "kind byte, x long, y long"), "linked")
+        assigned.drop()
 
     by_key = classes.df.select("key", "node", "first", "times")
     if linked is not None:
@@ -224,23 +239,8 @@ def link_embeddings(vectors: DataFrame, least: float = 0.98, sample: int = SAMPL
         by_key = by_key.select("key", "first", F.col("node").alias("component"), (F.col("times") - 1).alias("n_links"))
     best = by_key.groupBy("component").agg(F.min("first").alias("component_id"))
     found = by_key.join(best, "component").select("key", "component_id", "n_links")
+    if linked is not None:
+        linked.drop()
     out = named.select(id_col, "key").join(found, "key", "left")
     component = F.coalesce("component_id", id_col)
     return out.select(id_col, F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col(id_col) == component, F.lit(False)).alias("kept"))
-
-
-def _meet_plain(least: float):
-    """A block's task for vectors of a length that the index wasn't fitted on: exact cosine of all pairs of the block."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        vectors, stored = np.stack(pdf["v"].to_list()), pdf["stored"].to_numpy()
-        node, times = pdf["node"].to_numpy(), pdf["times"].to_numpy()
-        a, b = np.nonzero(vectors[~stored] @ vectors[stored].T >= least)
-        a, weight, b = node[~stored][a], times[stored][b], node[stored][b]
-        keep = a != b
-        a, b, weight = a[keep], b[keep], weight[keep]
-        who, at = np.unique(a, return_inverse=True)
-        forest = spanning(a, b)
-        return pd.DataFrame({"kind": np.repeat(np.array([0, 1], np.int8), [len(who), len(forest)]), "x": np.concatenate([who, forest[:, 0]]), "y": np.concatenate([np.bincount(at, weight, len(who)).astype(np.int64), forest[:, 1]])})
-
-    return run
