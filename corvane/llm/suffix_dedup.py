@@ -316,7 +316,10 @@ def dedup_spans(docs: DataFrame, depth: int = 50, id_col: str = "doc_id", text_c
     resolved = sent.groupBy("bucket").applyInPandas(_resolve(depth), "bucket int, part long, record binary, places binary, value binary")
     marks = resolved.groupBy("part").agg(F.collect_list(F.struct("bucket", "record", "places", "value")).alias("marks"))
     shape = f"`{id_col}` {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
-    return both.join(marks, "part", "left").select("blob", "found", "marks").mapInArrow(cut, shape)
+    out = Table(both.join(marks, "part", "left").select("blob", "found", "marks").mapInArrow(cut, shape), "cut")
+    parts.drop()
+    found.drop()
+    return out.df
 
 
 def _cut(anchors: Anchors, contexts: Contexts, marks: list, depth: int, id_col: str, keep_text: bool) -> pa.RecordBatch:
