@@ -19,6 +19,20 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Tables not dropped yet, by name.
+_tables: dict[str, Table] = {}
+
+
+def live_tables() -> list[Table]:
+    return list(_tables.values())
+
+
+def drop_tables(*keep: Table) -> None:
+    """Drop every table that is left but those to keep: for callers who have read, or written elsewhere, what operators returned."""
+    for table in [t for t in _tables.values() if t not in keep]:
+        table.drop()
+
+
 class Table:
     """A DataFrame written as Parquet in the shared folder: it cuts lineage, and survives lost executors.
 
@@ -31,6 +45,7 @@ class Table:
         self.name = f"{name}_{uuid.uuid4().hex}"
         self.bucketed = bucket is not None
         self.path = f"{shared_dir(self.spark)}/{self.name}"
+        _tables[self.name] = self
         if self.bucketed:
             n = min(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 100_000)
             df.write.format("parquet").bucketBy(n, bucket).saveAsTable(self.name)
@@ -43,6 +58,7 @@ class Table:
 
     def drop(self) -> None:
         """Delete the files; only once nothing that is still to run reads them."""
+        _tables.pop(self.name, None)
         if self.bucketed:
             self.spark.sql(f"DROP TABLE IF EXISTS {self.name}")
             return

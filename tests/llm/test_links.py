@@ -36,7 +36,7 @@ def test_embeddings_against_all_pairs(spark, monkeypatch, rows, lists):
     for i in range(300):
         v = base[rng.integers(60)] + rng.normal(size=24) * rng.choice([0, 0.05, 0.1, 0.2])
         data.append((i, [float(x) for x in np.float32(v)], int(rng.integers(2))))
-    data += [(300, None, 1), (301, [0.0] * 24, 1), (302, [float("nan")] + [1.0] * 23, 1), (303, data[0][1], None), (304, [None] + [1.0] * 23, 0), (305, [2.0, 2.0], 0), (306, [1.0, 1.0], 0), (307, [1.0, 1.0], 1), (308, [], 0), (309, [float("inf")] * 24, 0)]
+    data += [(300, None, 1), (301, [0.0] * 24, 1), (302, [float("nan")] + [1.0] * 23, 1), (303, data[0][1], None), (304, [None] + [1.0] * 23, 0), (305, [2.0, 2.0], 0), (310, [2.0, 2.1], 0), (311, [2.0, -2.1], 0), (306, [1.0, 1.0], 0), (307, [1.0, 1.0], 1), (308, [], 0), (309, [float("inf")] * 24, 0)]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in link_embeddings(spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").repartition(3)).collect()}
     usable = {i: np.array(v, float) / np.linalg.norm(np.array(v, float)) for i, v, l in data if v and l is not None and all(x is not None and np.isfinite(x) for x in v) and any(v)}
     label = {i: l for i, _, l in data}
@@ -185,3 +185,27 @@ def test_pipeline_stage_by_stage(spark):
     pieces = steps[5].collect()
     assert sorted(r.doc_id for r in pieces if r.piece == 0) == sorted(taken)
     assert all(s.columns == docs.columns for s in steps[:5])
+
+
+def test_pipeline_takes_columns_of_any_name_and_leaves_no_tables(spark):
+    import corpus_pipeline as pipeline
+    from corvane.llm.shared import Table, drop_tables, live_tables
+
+    drop_tables()
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(60)
+    names = ["score", "predicted", "spans", "redacted", "n_assign", "_id", "_copies", "_copy", "size", "taken", "target", "node", "part", "component_id", "extra_column_0"]
+    wide = Table(docs.select("*", *(F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names)), "wide")
+    plain = Table(docs, "plain")
+    for _, stage in pipeline.STAGES[:-1]:
+        one, other = Table(stage(spark, wide.df, sf), "wide"), Table(stage(spark, plain.df, sf), "plain")
+        drop_tables(one, other)
+        wide, plain = one, other
+        assert wide.df.columns == [*docs.columns, *names]
+        assert sorted(wide.df.select(*docs.columns).collect()) == sorted(plain.df.collect())
+        assert all(r[n] == f"{n}{r.doc_id}" for r in wide.df.collect() for n in names)
+    assert pipeline.STAGES[-1][1](spark, wide.df, sf).count() >= wide.df.count()
+    drop_tables()
+    before = len(live_tables())
+    pipeline.run(spark, sf)
+    assert before == 0 and len(live_tables()) <= 6  # the stages' tables and those that the result reads
