@@ -7,6 +7,9 @@ passes through all stages.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,12 +20,28 @@ from corvane.llm.packing import pack_sequences
 from corvane.llm.quality import score_documents, train
 from corvane.llm.queries import is_held_out
 from corvane.llm.secret_scan import scan_secrets
-from corvane.llm.shared import Table
+from corvane.llm.shared import Table, drop_tables, live_tables
 
 #: Documents scored below this are rejected.
 LEAST_QUALITY = 0.5
+#: The columns that stages read by name; others can have any names.
+READ = ("doc_id", "text", "source", "n_chars")
+
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+
+def any_columns(stage: Stage) -> Stage:
+    """The stage with the columns that it doesn't read out of the way of those it adds."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        plain = [c if c in READ else f"extra_column_{i}" for i, c in enumerate(docs.columns)]
+        return stage(spark, docs.toDF(*plain), sf_dir).toDF(*docs.columns)
+
+    return run
 
 
+@any_columns
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rejects documents of low quality; the classifier learns from labelled rows that aren't held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(~is_held_out())
@@ -30,6 +49,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.filter(F.col("score") >= LEAST_QUALITY).select(*docs.columns)
 
 
+@any_columns
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group linked at a Jaccard similarity of 0.8 over five-word shingles, the document of smallest id stays.
 
@@ -41,6 +61,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return docs.join(stays, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi").dropDuplicates(["doc_id", "text"])
 
 
+@any_columns
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces every secret by a mark of its kind, and n_chars by the new length where the text changed."""
     scanned = scan_secrets(docs, keep=docs.columns, redacted=True)
@@ -49,6 +70,7 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scanned.select(*({"text": F.col("redacted").alias("text"), "n_chars": n_chars}.get(c, F.col(c)) for c in docs.columns))
 
 
+@any_columns
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them: not at all, once or twice. Rows of equal ids are taken alike; those without words go."""
     mixed = mix_sources(docs, weights=[5, 2, 1], share=1.5)
@@ -72,5 +94,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over `documents`, each written and read again."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = Table(stage(spark, docs, sf_dir), name.replace(" ", "-")).df
+        before = live_tables()
+        out = Table(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = out.df
+        drop_tables(out, *before)  # what the stage left behind; its input stays for a rerun of lost tasks
     return STAGES[-1][1](spark, docs, sf_dir)
