@@ -103,16 +103,16 @@ def check_date_time(s: str) -> bool:
 check_ipv6 = _full(IPV6)
 
 
-def check_ascii_host(s: str) -> bool:
-    """LDH labels of at most 63, 253 in all, an optional last dot after two labels or more, no all-digit last label."""
+def check_ascii_host(s: str, numeric_top: bool = False, last_dot: bool = True) -> bool:
+    """LDH labels of at most 63, 253 in all; A-labels decode. A last dot after two labels or more, and an all-digit last label, where asked for."""
     labels = s.split(".")
-    if len(labels) > 2 and labels[-1] == "":
+    if last_dot and len(labels) > 2 and labels[-1] == "":
         labels = labels[:-1]
     if len(".".join(labels)) > 253 or not all(re.fullmatch(LABEL, x) for x in labels):
         return False
-    if len(labels) > 1 and labels[-1].isdigit():
+    if not numeric_top and labels[-1].isdigit():
         return False
-    return all(not (x[2:4] == "--") or (x.lower().startswith("xn--") and check_a_label(x)) for x in labels)
+    return all(check_a_label(x) for x in labels if x[:4].lower() == "xn--")
 
 
 def check_a_label(label: str) -> bool:
@@ -169,20 +169,28 @@ def check_u_label(label: str) -> bool:
     return not all(digits.values())
 
 
-def check_idn_host(s: str) -> bool:
+def check_idn_host(s: str, numeric_top: bool = False, last_dot: bool = True, plain_labels: bool = False) -> bool:
+    """Labels of IDNA 2008, 253 octets in all; plain_labels holds ASCII labels without the ACE prefix to the LDH rule alone."""
     labels = re.split("[.。．｡]", s)
-    if len(labels) > 2 and labels[-1] == "":
+    if last_dot and len(labels) > 2 and labels[-1] == "":
         labels = labels[:-1]
     coded = []
     for x in labels:
         if x.isascii():
-            if not re.fullmatch(LABEL, x) or (x[2:4] == "--" and not (x.lower().startswith("xn--") and check_a_label(x))):
+            is_a_label = x[:4].lower() == "xn--"
+            if not re.fullmatch(LABEL, x) or (is_a_label and not check_a_label(x)) or (x[2:4] == "--" and not is_a_label and not plain_labels):
                 return False
             coded.append(x)
         else:
+            mapped = unicodedata.normalize("NFKC", x.lower())
+            if mapped.isascii() and re.fullmatch(LABEL, mapped):
+                coded.append(mapped)
+                continue
             if not check_u_label(unicodedata.normalize("NFC", x.lower())):
                 return False
             coded.append("xn--" + x.lower().encode("punycode").decode("ascii"))
+    if not numeric_top and coded[-1].isdigit():
+        return False
     return all(0 < len(x) <= 63 for x in coded) and len(".".join(coded)) <= 253
 
 
@@ -200,15 +208,15 @@ def _mailbox(s: str, atom: str, host: Callable[[str], bool], other: str) -> bool
         if inside[:5].lower() == "ipv6:":
             return check_ipv6(inside[5:])
         return re.fullmatch(IPV4, inside) is not None
-    return not domain.endswith(".") and host(domain)
+    return host(domain)
 
 
 def check_email(s: str) -> bool:
-    return s.isascii() and _mailbox(s, _ATEXT, check_ascii_host, "")
+    return s.isascii() and _mailbox(s, _ATEXT, lambda d: check_ascii_host(d, numeric_top=True, last_dot=False), "")
 
 
 def check_idn_email(s: str) -> bool:
-    return _mailbox(s, _ATEXT_UTF8, check_idn_host, "\\u0080-\\U0010FFFF")
+    return _mailbox(s, _ATEXT_UTF8, lambda d: check_idn_host(d, numeric_top=True, last_dot=False, plain_labels=True), "\\u0080-\\U0010FFFF")
 
 
 def check_regex(s: str) -> bool:
@@ -303,8 +311,8 @@ def date_time_column(s: Column) -> Column:
 
 def host_column(s: Column) -> Column:
     trimmed = F.when(s.rlike(r"\.[^.]+\.\z"), F.regexp_replace(s, r"\.\z", "")).otherwise(s)
-    plain = trimmed.rlike(_java(rf"{LABEL}(?:\.{LABEL})*")) & (F.length(trimmed) <= 253) & ~trimmed.rlike(r"\.[0-9]+\z")
-    odd = s.rlike("(?i)(^|\\.)..--")
+    plain = trimmed.rlike(_java(rf"{LABEL}(?:\.{LABEL})*")) & (F.length(trimmed) <= 253) & ~trimmed.rlike(r"(\A|\.)[0-9]+\z")
+    odd = s.rlike("(?i)(^|\\.)xn--")
     return F.when(odd, _guarded(odd, check_ascii_host, s)).otherwise(plain)
 
 

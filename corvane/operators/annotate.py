@@ -18,6 +18,7 @@ from pyspark.sql import SparkSession
 
 from corvane.functions.numbers import canonical_json
 from corvane.operators.infer import literal_type, merge_all, types_of
+from corvane.plans.evaluator import has_type
 from corvane.plans.model import TYPES, exact, parse_json
 from corvane.sources.documents import _loader, clean_text, split_documents
 
@@ -102,7 +103,14 @@ def block_dialect(node: Node, lines: list[str]) -> Note | None:
     return note
 
 
-_INLINE_LIST = ("enum", "examples", "type", "itemEnum", "required")
+#: Keys whose value is text as it stands, a list, or YAML (fixed names); others say nothing.
+_INLINE_TEXT = ("title", "description", "pattern", "$id", "$ref")
+_INLINE_LIST = ("enum", "examples", "type", "item", "itemEnum", "itemRequired")
+_INLINE_YAML = (
+    "default", "const", "multipleOf", "minimum", "maximum", "minLength", "maxLength", "minItems", "maxItems", "minProperties", "maxProperties", "uniqueItems", "readOnly", "deprecated",
+    "additionalProperties", "patternProperties", "allOf", "anyOf", "oneOf", "not", "unevaluatedProperties",
+)
+_INLINE_ITEM = {"itemProperties": "properties", "itemEnum": "enum", "itemRequired": "required", "itemRef": "$ref"}
 
 
 def inline_dialect(node: Node, lines: list[str]) -> Note | None:
@@ -116,12 +124,19 @@ def inline_dialect(node: Node, lines: list[str]) -> Note | None:
         key, text = key.strip(), text.strip()
         if not key:
             continue
+        if key in _INLINE_TEXT or key == "itemRef":
+            plain = text[1:-1] if len(text) > 1 and text[0] == text[-1] and text[0] in "\"'" else text
+            if key != "itemRef":
+                schema[key] = plain
+            elif plain:
+                schema.setdefault("items", {})["$ref"] = plain
+            continue
         value = True if not text else scalar(text)
         if key in _INLINE_LIST and isinstance(value, str):
             value = [scalar(v.strip()) for v in value.strip("[]").split(",")]
-        if key == "required" and isinstance(value, bool):
-            note.required = value
-        elif key in ("hidden", "skip"):
+        if key == "required":
+            note.required = value if isinstance(value, bool) else note.required
+        elif key == "hidden":
             note.skip = bool(value)
         elif key == "skipProperties":
             note.skip_properties = bool(value)
@@ -129,14 +144,13 @@ def inline_dialect(node: Node, lines: list[str]) -> Note | None:
             note.merge_properties = bool(value)
         elif key == "nullable":
             schema["_nullable"] = bool(value)
-        elif key == "type":
+        elif key in ("type", "item"):
             if (kind := normal_type(value)) is not None:
-                schema["type"] = kind
-        elif key == "item":
-            schema.setdefault("items", {})["type"] = normal_type(value)
-        elif key.startswith("item") and key[4:5].isupper():
-            schema.setdefault("items", {})[key[4].lower() + key[5:]] = value
-        else:
+                (schema if key == "type" else schema.setdefault("items", {}))["type"] = kind
+        elif key in _INLINE_ITEM:
+            if text and value not in ([], {}, None):
+                schema.setdefault("items", {})[_INLINE_ITEM[key]] = value
+        elif key in _INLINE_LIST or key in _INLINE_YAML:
             schema[key] = value
     if schema.pop("_nullable", False) and "type" in schema:
         kinds = schema["type"] if isinstance(schema["type"], list) else [schema["type"]]
@@ -229,8 +243,17 @@ def root_note(lines: list[str]) -> dict:
     return body if isinstance(body, dict) else {}
 
 
+def fits(values: list, kinds: Any) -> bool:
+    """Whether every value is of one of the types."""
+    names = kinds if isinstance(kinds, list) else [kinds]
+    return all(any(has_type(v, n) for n in names) for v in values)
+
+
 def merge_notes(notes: list[Note]) -> Note:
-    """Field by field the first that says something; a reference keeps others from filling in, enum and const count as one field."""
+    """Field by field the first that says something; a reference keeps others from filling in, enum and const count as one field.
+
+    A type and values that contradict it never come from different notes: the earlier stays.
+    """
     out = Note()
     for note in notes:
         out.skip |= note.skip
@@ -245,6 +268,10 @@ def merge_notes(notes: list[Note]) -> Note:
                 continue
             if k in ("enum", "const") and ("enum" in out.schema or "const" in out.schema):
                 continue
+            if k in ("enum", "const") and "type" in out.schema and not fits(v if k == "enum" else [v], out.schema["type"]):
+                continue
+            if k == "type" and ("enum" in out.schema or "const" in out.schema) and not fits(out.schema.get("enum", [out.schema.get("const")]), v):
+                continue
             out.schema.setdefault(k, v)
     return out
 

@@ -198,26 +198,54 @@ FIRST = ("$schema", "$id", "$comment", "$anchor", "$dynamicAnchor", "$vocabulary
 MIXED = "x-corvane-mixed"
 
 
-def _merge_types(a: dict, b: dict, out: dict) -> None:
-    if a.get(MIXED) or b.get(MIXED):
-        out[MIXED] = True
-        return
-    if "type" not in a or "type" not in b:
-        one = a.get("type", b.get("type"))
-        if one is not None and ("type" in a or not a.get("enum")):
-            bits = type_bits(one) | 1
-            kind = types_of(bits)
-            if kind is not None:
-                out["type"] = kind
-        return
-    bits = type_bits(a["type"]) | type_bits(b["type"])
-    kind = types_of(bits)
-    if type_bits(a["type"]) == type_bits(b["type"]):
-        out["type"] = a["type"]
-    elif kind is None:
-        out[MIXED] = True
-    else:
-        out["type"] = kind
+#: Keywords that say nothing about which values are valid.
+SILENT = ("type", *FIRST, "deprecated", "readOnly", "writeOnly", "definitions", "$defs")
+
+
+def constrains(s: dict) -> bool:
+    """Whether a schema limits values by anything but its type; one without a type that doesn't stands for null."""
+    return any(k not in SILENT and not k.startswith("x-") and not (k == "uniqueItems" and v is False) for k, v in s.items())
+
+
+def _merge_types(a: dict, b: dict, out: dict) -> bool:
+    """Sets the type of out; returns whether a side without a type that takes any type keeps out without one."""
+    if "type" in a and "type" in b:
+        bits = type_bits(a["type"]) | type_bits(b["type"])
+        kind = a["type"] if type_bits(a["type"]) == type_bits(b["type"]) else types_of(bits)
+        out.update({MIXED: True} if kind is None else {"type": kind})
+        return False
+    lacks = [s for s in (a, b) if "type" not in s]
+    if any(map(constrains, lacks)):
+        return True
+    if len(lacks) == 1:
+        kind = types_of(type_bits(a.get("type", b.get("type"))) | 1)
+        if kind is not None:
+            out["type"] = kind
+    return False
+
+
+def _merge_words(a: dict, b: dict, out: dict) -> None:
+    """Titles, defaults and marks: the first side's; values: both sides'."""
+    for k in FIRST:
+        if k in a or k in b:
+            out[k] = a[k] if k in a else b[k]
+    for k in ("readOnly", "writeOnly"):
+        if a.get(k) and b.get(k):
+            out[k] = True
+    if a.get("deprecated") or b.get("deprecated"):
+        out["deprecated"] = True
+    for k in [*a, *b]:
+        if k.startswith("x-") and k != MIXED and k not in out:
+            out[k] = a[k] if k in a else b[k]
+    values = [s["enum"] if "enum" in s else [s["const"]] if "const" in s else None for s in (a, b)]
+    if None not in values:
+        if "const" in a and "const" in b and equal(a["const"], b["const"]):
+            out["const"] = a["const"]
+        elif len(values[0]) == len(values[1]) and all(map(equal, *values)):
+            out["enum"] = values[0]
+        else:
+            every = {canonical_json(x): x for v in values for x in v}
+            out["enum"] = [every[k] for k in sorted(every)]
 
 
 def merge(a: Any, b: Any) -> Any:
@@ -230,6 +258,51 @@ def merge_all(schemas: list[Any]) -> Any:
     return _strip(reduce(_merge, schemas)) if schemas else {}
 
 
+def merge_by(df: DataFrame, keys: list[str], column: str, order: str) -> DataFrame:
+    """(keys, merged): merge_all() of a column of schemas as JSON text for each key, in the order given.
+
+    Equal schemas of a key are one, from the first place they have. The rest is ordered
+    by range, so each task folds a run of every key, and only a schema for each run is
+    gathered by key: a key's schemas never meet in one task unless they are that few.
+    Null and text that is no schema says nothing; a key without any has no row.
+    """
+    kept = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+    distinct = df.filter(F.col(column).isNotNull()).groupBy(*keys, F.col(column).alias("_schema")).agg(F.min(order).alias("_at"))
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    runs = distinct.repartitionByRange(n, *keys, "_at", "_schema").sortWithinPartitions(*keys, "_at", "_schema")
+
+    def folded(schemas: list[str]) -> str | None:
+        parsed = []
+        for text in schemas:
+            try:
+                parsed.append(parse_json(text))
+            except ValueError:
+                continue
+        parsed = [s for s in parsed if isinstance(s, (dict, bool))]
+        return canonical_json(reduce(_merge, parsed)) if parsed else None
+
+    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, held, at = None, None, None
+        for pdf in frames:
+            for *key, schema, place in pdf[[*keys, "_schema", "_at"]].itertuples(index=False, name=None):
+                name = repr(key)
+                if name != last:
+                    if held is not None:
+                        yield pd.DataFrame([(*whose, at, held)], columns=[*keys, "_at", "_schema"])
+                    last, held, at, whose = name, None, place, key
+                held = folded([*([held] if held else []), schema])
+        if held is not None:
+            yield pd.DataFrame([(*whose, at, held)], columns=[*keys, "_at", "_schema"])
+
+    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("_at", kind="stable")
+        return pdf[keys].head(1).assign(merged=canonical_json(_strip(parse_json(folded(pdf["_schema"].tolist())))))
+
+    place = distinct.schema["_at"].dataType.simpleString()
+    parts = runs.mapInPandas(partial, f"{kept}, _at {place}, _schema string")
+    return parts.groupBy(*keys).applyInPandas(whole, f"{kept}, merged string")
+
+
 def _strip(s: Any) -> Any:
     if isinstance(s, dict):
         return {k: _strip(v) for k, v in s.items() if k != MIXED}
@@ -244,30 +317,21 @@ def _merge(a: Any, b: Any) -> Any:
     if b is False:
         return a
     out: dict[str, Any] = {}
-    _merge_types(a, b, out)
-    for k in FIRST:
-        if k in a or k in b:
-            out[k] = a[k] if k in a else b[k]
+    if a.get(MIXED) or b.get(MIXED):
+        _merge_words(a, b, out)
+        return out | {MIXED: True}
+    takes_any_type = _merge_types(a, b, out)
+    _merge_words(a, b, out)
+    if out.get(MIXED):  # of values of types that don't mix nothing more can be said
+        return out
     for keys, pick in ((LOWER, min), (UPPER, max)):
         for k in keys:
             if k in a and k in b:
                 out[k] = pick(a[k], b[k])
-    for k in ("uniqueItems", "readOnly", "writeOnly"):
-        if a.get(k) and b.get(k):
-            out[k] = True
-    if a.get("deprecated") or b.get("deprecated"):
-        out["deprecated"] = True
+    if a.get("uniqueItems") and b.get("uniqueItems"):
+        out["uniqueItems"] = True
     if "required" in a and "required" in b and (common := sorted(set(a["required"]) & set(b["required"]))):
         out["required"] = common
-    values = [s["enum"] if "enum" in s else [s["const"]] if "const" in s else None for s in (a, b)]
-    if None not in values:
-        if "const" in a and "const" in b and equal(a["const"], b["const"]):
-            out["const"] = a["const"]
-        elif len(values[0]) == len(values[1]) and all(map(equal, *values)):
-            out["enum"] = values[0]
-        else:
-            every = {canonical_json(x): x for v in values for x in v}
-            out["enum"] = [every[k] for k in sorted(every)]
     for k in EQUAL:
         if k in a and k in b and equal(_jsonable(a[k]), _jsonable(b[k])):
             out[k] = a[k]
@@ -277,22 +341,21 @@ def _merge(a: Any, b: Any) -> Any:
     condition = [{k: s[k] for k in ("if", "then", "else") if k in s} for s in (a, b)]
     if condition[0] and equal(_jsonable(condition[0]), _jsonable(condition[1])):
         out.update(condition[0])
+    # a side without a type that limits values takes any object and any array: what only the other says of them isn't grafted onto it
+    loose = ["type" not in s and constrains(s) for s in (a, b)]
     if isinstance(a.get("items"), list) or isinstance(b.get("items"), list):
         if "items" in a and "items" in b and equal(_jsonable(a["items"]), _jsonable(b["items"])):
             out["items"] = a["items"]
     elif "items" in a and "items" in b:
         out["items"] = _merge(a["items"], b["items"])
     elif "items" in a or "items" in b:
-        has, lacks = (a, b) if "items" in a else (b, a)
-        if "array" not in (lacks.get("type") if isinstance(lacks.get("type"), list) else [lacks.get("type")]) and "type" in lacks and set([lacks["type"]] if isinstance(lacks["type"], str) else lacks["type"]) == {"null"}:
+        has, lacks, free = (a, b, loose[1]) if "items" in a else (b, a, loose[0])
+        if not free and not type_bits(lacks.get("type", [])) & BITS["array"]:
             out["items"] = has["items"]
-    if "properties" in a or "properties" in b:
-        p, q = a.get("properties", {}), b.get("properties", {})
-        loose = [_takes_anything(s) for s in (a, b)]
-        names = [*p, *(k for k in q if k not in p)]
-        merged = {k: _merge(p[k], q[k]) if k in p and k in q else clone(p.get(k, q.get(k))) for k in names if (k in p and k in q) or not loose[1 if k in p else 0]}
-        if merged:
-            out["properties"] = merged
+    p, q = a.get("properties"), b.get("properties")
+    if (p is not None or q is not None) and not (q is None and loose[1]) and not (p is None and loose[0]):
+        p, q = p or {}, q or {}
+        out["properties"] = {k: _merge(p[k], q[k]) if k in p and k in q else clone(p.get(k, q.get(k))) for k in [*p, *(k for k in q if k not in p)]}
     more = [s.get("additionalProperties", True) for s in (a, b)]
     if "additionalProperties" in a or "additionalProperties" in b:
         if True in more:
@@ -301,19 +364,11 @@ def _merge(a: Any, b: Any) -> Any:
             out["additionalProperties"] = more[1] if more[0] is False else more[0]
         else:
             out["additionalProperties"] = _merge(*more)
-    for k in [*a, *b]:
-        if k.startswith("x-") and k != MIXED and k not in out:
-            out[k] = a[k] if k in a else b[k]
-    if out.get(MIXED):  # of values of several types only what says nothing about one type stays
-        out = {k: v for k, v in out.items() if k not in ("properties", "additionalProperties", "required", "items")}
+    if takes_any_type and not constrains(out):
+        out[MIXED] = True
     return out
 
 
-def _takes_anything(s: dict) -> bool:
-    """A side without a type that constrains no value: members of the other side alone aren't grafted onto it."""
-    return "type" not in s and "properties" not in s and s.get("additionalProperties", True) is True
-
-
 def _jsonable(x: Any) -> Any:
     return x if not isinstance(x, tuple) else list(x)
 
