@@ -7,7 +7,6 @@ from brute import flow_by_single_paths, shares
 from corvane.llm.fingerprint import fingerprint_documents
 from corvane.llm.mixing import min_cost_flow, mix_sources, words_given
 from corvane.llm.secret_scan import AFTER, BEFORE, _joined, base_spans, corpus_findings, scan_secrets, trained, windows
-from corvane.plans.queries import QUERIES
 
 KEY = "a8Kd93kLm2Zq81nB7xYp05RtVwQe4TgHj2Lc6Nf9"
 PATH = "the/north/station/garden/window/morning/river/paper/letter/summer"
@@ -160,15 +159,3 @@ def test_mixing_of_documents_in_several_sources(spark):
         best = max(pattern(r.source), key=lambda n: size[n], default=None) if pattern(r.source) else None
         assert r.source_size == (size[best] if pattern(r.source) else None) and (not pattern(r.source) or abs(r.target - target[best]) < 1e-6)
     assert sorted(mix_sources(docs.repartition(7), [5, 2, 1], 1.5).collect(), key=str) == sorted(got, key=str)
-
-
-def test_queries_over_all_words_and_components(spark):
-    sf_dir = "/root/testdata/sf0.001"
-    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
-    vectors = {r.vec_id: r.embedding for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()}
-    unique = {r.doc_id: r.ok for r in QUERIES["kw_unique_items_all_words"](spark, sf_dir).collect()}
-    assert unique == {i: int(len(set(t.split(" "))) == len(t.split(" "))) for i, t in docs.items()}
-    joined = {r.doc_id: (r.lf, r.crlf, r.closed) for r in QUERIES["str_join_lines_all_words"](spark, sf_dir).collect()}
-    assert joined == {i: (t.replace(" ", "\n"), t.replace(" ", "\r\n"), t.replace(" ", "\n") + "\n") for i, t in docs.items()}
-    rest = {r.vec_id: r.ok for r in QUERIES["kw_unevaluated_items_all"](spark, sf_dir).collect()}
-    assert rest == {i: int(any(x >= 0 for x in e) and all(x >= -1 for x in e[1:])) for i, e in vectors.items()}
