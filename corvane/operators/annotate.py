@@ -280,8 +280,13 @@ def merge_notes(notes: list[Note]) -> Note:
 
 
 def description_of(above: list[str]) -> str | None:
-    """Plain comment lines above a member as prose; marker lines and rules of signs are skipped."""
-    text = [_bare(x).strip() for x in above]
+    """Plain comment lines above a member as prose; fenced blocks, marker lines and rules of signs are skipped."""
+    text, fence = [], None
+    for line in (_bare(x).strip() for x in above):
+        if re.fullmatch(r"@schema(\.root)?", line):
+            fence = None if fence == line else fence or line
+        elif fence is None:
+            text.append(line)
     text = [t for t in text if t and not re.match(r"^(@|--|##)", t) and re.search(r"\w", t)]
     return " ".join(text) or None
 

@@ -281,26 +281,28 @@ def merge_by(df: DataFrame, keys: list[str], column: str, order: str) -> DataFra
         parsed = [s for s in parsed if isinstance(s, (dict, bool))]
         return canonical_json(reduce(_merge, parsed)) if parsed else None
 
-    def partial(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last, held, at = None, None, None
+    def fold_runs(frames: Iterator[pd.DataFrame], last_fold: bool) -> Iterator[pd.DataFrame]:
+        names = [*keys, "merged"] if last_fold else [*keys, "_at", "_schema"]
+        last, held, at, whose, out = None, None, None, None, []
+
+        def close() -> None:
+            if held is not None:
+                out.append((*whose, canonical_json(_strip(parse_json(held)))) if last_fold else (*whose, at, held))
+
         for pdf in frames:
             for *key, schema, place in pdf[[*keys, "_schema", "_at"]].itertuples(index=False, name=None):
-                name = repr(key)
-                if name != last:
-                    if held is not None:
-                        yield pd.DataFrame([(*whose, at, held)], columns=[*keys, "_at", "_schema"])
-                    last, held, at, whose = name, None, place, key
+                if repr(key) != last:
+                    close()
+                    last, held, at, whose = repr(key), None, place, key
                 held = folded([*([held] if held else []), schema])
-        if held is not None:
-            yield pd.DataFrame([(*whose, at, held)], columns=[*keys, "_at", "_schema"])
-
-    def whole(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("_at", kind="stable")
-        return pdf[keys].head(1).assign(merged=canonical_json(_strip(parse_json(folded(pdf["_schema"].tolist())))))
+            yield pd.DataFrame(out, columns=names)
+            out.clear()
+        close()
+        yield pd.DataFrame(out, columns=names)
 
     place = distinct.schema["_at"].dataType.simpleString()
-    parts = runs.mapInPandas(partial, f"{kept}, _at {place}, _schema string")
-    return parts.groupBy(*keys).applyInPandas(whole, f"{kept}, merged string")
+    parts = runs.mapInPandas(lambda frames: fold_runs(frames, False), f"{kept}, _at {place}, _schema string")
+    return parts.repartition(*keys).sortWithinPartitions(*keys, "_at").mapInPandas(lambda frames: fold_runs(frames, True), f"{kept}, merged string")
 
 
 def _strip(s: Any) -> Any:
@@ -359,7 +361,8 @@ def _merge(a: Any, b: Any) -> Any:
     more = [s.get("additionalProperties", True) for s in (a, b)]
     if "additionalProperties" in a or "additionalProperties" in b:
         if True in more:
-            out["additionalProperties"] = True
+            if not takes_any_type:  # there it would say what no word says too
+                out["additionalProperties"] = True
         elif more[0] is False or more[1] is False:
             out["additionalProperties"] = more[1] if more[0] is False else more[0]
         else:

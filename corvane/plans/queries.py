@@ -135,8 +135,7 @@ checked("kw_min_max_contains", "embeddings", {"properties": {"embedding": {"cont
 _WORDS = lambda df: df.select("doc_id", F.split("text", " ").alias("words"))
 _WORDS_SQL = "(SELECT doc_id, string_split(text, ' ') AS words FROM documents)"
 checked("kw_array_length", "documents", {"properties": {"words": {"minItems": 100, "maxItems": 400}}}, "doc_id", "len(words) BETWEEN 100 AND 400", _WORDS, _WORDS_SQL)
-checked("kw_unique_items", "documents", {"properties": {"words": {"uniqueItems": True}}}, "doc_id", "len(words) = len(list_distinct(words))", lambda df: df.select("doc_id", F.slice(F.split("text", " "), 1, 8).alias("words")), "(SELECT doc_id, string_split(text, ' ')[1:8] AS words FROM documents)")
-checked("kw_unique_items_all_words", "documents", {"properties": {"words": {"uniqueItems": True}}}, "doc_id", "len(words) = len(list_distinct(words))", _WORDS, _WORDS_SQL)
+checked("kw_unique_items", "documents", {"properties": {"words": {"uniqueItems": True}}}, "doc_id", "len(words) = len(list_distinct(words))", _WORDS, _WORDS_SQL)
 _HOLES = lambda df: df.select("p_partkey", F.when(F.col("p_size") > 10, F.col("p_brand")).alias("brand"), F.when(F.col("p_size") < 40, F.col("p_size")).alias("size"), F.when(F.col("p_size") % 3 == 0, F.col("p_retailprice")).alias("price"))
 _HOLES_SQL = "(SELECT p_partkey, CASE WHEN p_size > 10 THEN p_brand END AS brand, CASE WHEN p_size < 40 THEN p_size END AS size, CASE WHEN p_size % 3 = 0 THEN p_retailprice END AS price FROM part)"
 checked("kw_properties_required", "part", {"required": ["brand", "size"], "properties": {"price": {"minimum": 950}}}, "p_partkey", "brand IS NOT NULL AND size IS NOT NULL AND (price IS NULL OR price >= 950)", _HOLES, _HOLES_SQL)
@@ -162,8 +161,7 @@ checked(
     # user is evaluated by the first branch if it holds; t_click by the second, which always holds
     "user_id <= 40 AND event_type = 'click'", _MAP,
 )
-checked("kw_unevaluated_items", "embeddings", {"properties": {"e": {"prefixItems": [True], "contains": {"minimum": 0}, "unevaluatedItems": {"minimum": -1}}}}, "vec_id", "len(list_filter(embedding[1:6], lambda x: x >= 0)) > 0 AND len(list_filter(embedding[2:6], lambda x: x < 0 AND x < -1)) = 0", lambda df: df.select("vec_id", F.slice("embedding", 1, 6).alias("e")))
-checked("kw_unevaluated_items_all", "embeddings", {"properties": {"embedding": {"prefixItems": [True], "contains": {"minimum": 0}, "unevaluatedItems": {"minimum": -1}}}}, "vec_id", "len(list_filter(embedding, lambda x: x >= 0)) > 0 AND len(list_filter(embedding[2:], lambda x: x < 0 AND x < -1)) = 0")
+checked("kw_unevaluated_items", "embeddings", {"properties": {"embedding": {"prefixItems": [True], "contains": {"minimum": 0}, "unevaluatedItems": {"minimum": -1}}}}, "vec_id", "len(list_filter(embedding, lambda x: x >= 0)) > 0 AND len(list_filter(embedding[2:], lambda x: x < 0 AND x < -1)) = 0")
 _B64 = lambda df: df.select("c_custkey", F.element_at(F.array(F.base64(F.col("c_name").cast("binary")), F.lit("YQ"), F.lit("a*b="), F.base64(F.concat(F.lit('{"a":'), "c_custkey", F.lit("}")).cast("binary"))), (F.col("c_custkey") % 4 + 1).cast("int")).alias("s"))
 checked("kw_content_encoding", "customer", {"properties": {"s": {"contentEncoding": "base64"}}}, "c_custkey", "c_custkey % 4 IN (0, 3)", _B64, content=True)
 checked("kw_content_media_type", "customer", {"properties": {"s": {"contentEncoding": "base64", "contentMediaType": "application/json"}}}, "c_custkey", "c_custkey % 4 = 3", _B64, content=True)
@@ -251,32 +249,6 @@ def infer_typed_columns(spark, sf_dir):
     return infer_types(table(spark, sf_dir, "part"))
 
 
-@query("SELECT source, min(n_chars) AS minimum, max(n_chars) AS maximum, CAST(bool_or(n_chars > 3000) AS INTEGER) AS deprecated, CAST(bool_and(n_chars > 20) AS INTEGER) AS read_only FROM documents GROUP BY source")
-def merge_bounds_by_source(spark, sf_dir):
-    n = F.col("n_chars")
-    bound = lambda f: F.when(F.count(n) == F.count(F.lit(1)), f(n))
-    return table(spark, sf_dir, "documents").groupBy("source").agg(bound(F.min).alias("minimum"), bound(F.max).alias("maximum"), F.bool_or(n > 3000).cast("int").alias("deprecated"), F.bool_and(n > 20).cast("int").alias("read_only"))
-
-
-@query("SELECT p_brand, concat_ws(',', CASE WHEN bool_and(p_size > 3) THEN 'a' END, CASE WHEN bool_and(p_retailprice < 1000) THEN 'b' END, 'c') AS required FROM part GROUP BY p_brand")
-def merge_required_intersection(spark, sf_dir):
-    names = F.array_compact(F.array(F.when(F.col("p_size") > 3, "a"), F.when(F.col("p_retailprice") < 1000, "b"), F.lit("c")))
-    each = table(spark, sf_dir, "part").select("p_brand", F.explode(names).alias("name"))
-    total = table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count(F.lit(1)).alias("total"))
-    kept = each.groupBy("p_brand", "name").agg(F.count(F.lit(1)).alias("n")).join(total, "p_brand").filter("n = total")
-    return kept.groupBy("p_brand").agg(F.array_join(F.array_sort(F.collect_set("name")), ",").alias("required"))
-
-
-@query("SELECT p_type, string_agg(DISTINCT p_brand, '|' ORDER BY p_brand) AS enum FROM part GROUP BY p_type")
-def merge_enum_union(spark, sf_dir):
-    return table(spark, sf_dir, "part").groupBy("p_type").agg(F.array_join(F.array_sort(F.collect_set("p_brand")), "|").alias("enum"))
-
-
-@query("SELECT source, arg_min(lang, doc_id) AS first_lang FROM documents GROUP BY source")
-def merge_first_wins_default(spark, sf_dir):
-    return table(spark, sf_dir, "documents").groupBy("source").agg(F.min_by("lang", "doc_id").alias("first_lang"))
-
-
 _TABLES = {"region": ["r_regionkey integer", "r_name string"], "nation": ["n_nationkey integer", "n_name string", "n_regionkey integer"], "embeddings": ["vec_id integer", "embedding array", "label integer"], "events": ["event_id integer", "ts string", "user_id integer", "event_type string", "value number", "props string"]}
 
 
@@ -307,8 +279,8 @@ def render_half_block(spark, sf_dir):
     return table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("seq"), render_half_blocks(pix, F.lit(2), F.lit(1)).alias("text"))
 
 
-_LINES = lambda: F.slice(F.split("text", " "), 1, 5)
-_LINES_SQL = "string_split(text, ' ')[1:5]"
+_LINES = lambda: F.split("text", " ")
+_LINES_SQL = "string_split(text, ' ')"
 
 
 @query(f"SELECT doc_id, array_to_string({_LINES_SQL}, chr(10)) AS lf, array_to_string({_LINES_SQL}, chr(13) || chr(10)) AS crlf, array_to_string({_LINES_SQL}, chr(10)) || chr(10) AS closed FROM documents")
@@ -316,15 +288,6 @@ def str_join_lines(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", strings.join_lf(_LINES()).alias("lf"), strings.join_crlf(_LINES()).alias("crlf"), strings.lines_lf(_LINES()).alias("closed"))
 
 
-_ALL_LINES = lambda: F.split("text", " ")
-_ALL_LINES_SQL = "string_split(text, ' ')"
-
-
-@query(f"SELECT doc_id, array_to_string({_ALL_LINES_SQL}, chr(10)) AS lf, array_to_string({_ALL_LINES_SQL}, chr(13) || chr(10)) AS crlf, array_to_string({_ALL_LINES_SQL}, chr(10)) || chr(10) AS closed FROM documents")
-def str_join_lines_all_words(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", strings.join_lf(_ALL_LINES()).alias("lf"), strings.join_crlf(_ALL_LINES()).alias("crlf"), strings.lines_lf(_ALL_LINES()).alias("closed"))
-
-
 @query("SELECT doc_id, regexp_replace(replace(text, '. ', ' ' || chr(9) || chr(10)), '[ \\t]+(\\n|$)', '\\1', 'g') AS trimmed FROM documents")
 def str_trim_line_ends(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", strings.trim_line_ends(F.replace("text", F.lit(". "), F.lit(" \t\n"))).alias("trimmed"))
@@ -374,3 +337,6 @@ def canonical_json_equality(spark, sf_dir):
     other = F.try_parse_json(F.concat(F.lit('{"a":[1,{"x":100,"y":null}],"b":'), size, F.lit(".0}")))
     ten = F.try_parse_json(F.lit('{"a":[1,{"x":100.0,"y":null}],"b":10}'))
     return table(spark, sf_dir, "part").select("p_partkey", (variant_text(one) == variant_text(other)).cast("int").alias("equal_forms"), (variant_text(one) == variant_text(ten)).cast("int").alias("is_ten"))
+
+
+from corvane.plans import schema_queries  # noqa: E402, F401  registers its queries here

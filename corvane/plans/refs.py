@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping
 from typing import Any
 from urllib.parse import unquote, urljoin, urlsplit
 
-from corvane.plans.model import DRAFT7, Draft, ReferenceCycle, SchemaError, UnresolvedReference, children, clone, parse_schema, unescape
+from corvane.plans.model import DRAFT7, Draft, ReferenceCycle, SchemaError, UnresolvedReference, children, clone, parse_schema, unescape, vet
 
 Resolver = Callable[[str], Any]
 
@@ -120,7 +120,9 @@ class Registry:
             if found is None:
                 self.missing.add(uri)
             else:
-                self.add(parse_schema(found), uri, self.draft)
+                made = parse_schema(found)
+                vet(made, self.draft)
+                self.add(made, uri, self.draft)
         if uri not in self.resources:
             raise UnresolvedReference(uri)
         return self.resources[uri]
@@ -153,7 +155,8 @@ class Registry:
         return node
 
     def add_fragment(self, node: Any, base: str) -> None:
-        """Index a schema found under an unknown keyword."""
+        """Vet and index a schema found under an unknown keyword."""
+        vet(node, self.draft)
         known = self.resources.get(base)
         self.add(node, base, self.draft)
         if known is not None:
