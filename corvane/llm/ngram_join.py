@@ -159,7 +159,17 @@ def settle(sets: list[np.ndarray], t: float, scan: np.ndarray | None = None, lab
     """
     n = len(sets)
     size = np.array([len(s) for s in sets])
-    label = np.arange(n) if label is None else label.copy()
+    label = np.arange(n) if label is None else label
+    _, first, known = np.unique(label, return_index=True, return_inverse=True)
+    parent, left = first[known], len(first)  # a forest: of each set a set of its component, nearer to the component's root
+
+    def roots(at: np.ndarray) -> np.ndarray:
+        above = parent[at]
+        while (parent[above] != above).any():
+            above = parent[above]
+        parent[at] = above
+        return above
+
     _, element = np.unique(np.concatenate(sets), return_inverse=True)
     owner = np.repeat(np.arange(n), size)
     order = np.argsort(element, kind="stable")
@@ -167,18 +177,23 @@ def settle(sets: list[np.ndarray], t: float, scan: np.ndarray | None = None, lab
     owner_of = owner[order]
     begin = np.cumsum(size) - size
     for i in range(n) if scan is None else scan:
-        if (label == label[i]).all():
+        if left == 1:
             break
-        if scan is None and i and label[i] == label[0]:
+        if scan is None and i and np.ptp(roots(np.array([0, i]))) == 0:
             continue
         mine = element[begin[i] : begin[i] + size[i]]
-        lengths = start[mine + 1] - start[mine]
-        common = np.bincount(owner_of[ragged(start[mine], lengths)], minlength=n)
-        linked = np.flatnonzero(common >= t * (size[i] + size - common) - EPS * size)
-        together = np.unique(label[linked])
-        if len(together) > 1:
-            label[np.isin(label, together)] = together[0]
-    return label
+        meets = owner_of[ragged(start[mine], start[mine + 1] - start[mine])]
+        if len(meets) < n // 4:  # work as large as the lists, not as the chunk
+            who, common = np.unique(meets, return_counts=True)
+        else:
+            common = np.bincount(meets, minlength=n)
+            who = np.flatnonzero(common)
+            common = common[who]
+        linked = who[common >= t * (size[i] + size[who] - common) - EPS * size[who]]
+        together = np.unique(roots(linked))
+        parent[together] = together[0]
+        left -= len(together) - 1
+    return label[roots(np.arange(n))]
 
 
 def _settled_groups(t: float):
