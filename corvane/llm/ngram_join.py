@@ -14,20 +14,24 @@ Sets that meet are gathered by group (connected keys) in bounded chunks. A chunk
 task builds the inverted lists of its shingles and scans those of one set after the
 other: one scan counts a set's overlap with every set of the chunk, and settles all
 its links. Only sets outside the chunk's largest component are scanned. A group of
-several chunks also carries one pivot set to every chunk, and afterwards the sets
-that aren't linked to the pivot, so no pair across chunks is left out.
+several chunks is split first, by inverted lists of parts of sets: two linked sets
+differ in at most d shingles, so of more than d parts into which a hash deals the
+shingles, one part or more is equal in both. Several hashes in turn connect ever fewer
+sets that don't link. What still has several chunks carries one pivot set to every
+chunk, and afterwards the sets that aren't linked to the pivot, so no pair across
+chunks is left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import cache
-from math import ceil, comb, floor
+from functools import cache, reduce
+from math import ceil, comb, exp, floor
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.components import components
@@ -38,6 +42,8 @@ from corvane.llm.textbuf import U64, blocks, mix, ragged, shingle_sets
 CHUNK_BYTES = 6 << 20
 #: Cost of one list entry of a heavy set against one listed subset: its scan touches the list, its set travels.
 HEAVY_ENTRY = 2.0
+#: Hashes by whose parts a group of several chunks is split, one after the other.
+SPLITS = 3
 SALT = U64(0x2545F4914F6CDD1D)
 EPS = 1e-9
 
@@ -100,6 +106,50 @@ def subset_keys(items: np.ndarray, light: int, t: float) -> np.ndarray:
     return np.concatenate(keys) if keys else np.zeros(0, U64)
 
 
+@cache
+def band_edges(t: float) -> np.ndarray:
+    """Least sizes of bands such that linked sets are of one band or of two that are neighbours."""
+    edges = [1]
+    while edges[-1] < 1 << 32:
+        edges.append(floor(edges[-1] / t + EPS) + 1)
+    return np.array(edges)
+
+
+def piece_keys(items: np.ndarray, t: float, seed: int) -> np.ndarray:
+    """The keys of a set's pieces; linked sets have one in common.
+
+    For the sets of two neighbouring bands a hash deals shingles into more pieces than
+    linked ones can differ in, with `spare` pieces more: a set with no more empty pieces
+    than that shares another one, so only sets with more of them list those.
+    """
+    edges = band_edges(t)
+    scrambled = mix(items ^ mix(np.array([seed + 1], U64)))
+    band = int(np.searchsorted(edges, len(items), "right")) - 1
+    keys = []
+    for low in range(max(0, band - 1), band + 1):
+        least, most = int(edges[low]), int(edges[low + 2]) - 1
+        needed = floor(2 * most * (1 - t) / (1 + t) + EPS) + 1
+        spare = 1 + int(2 * needed * exp(-least / needed))
+        piece = (scrambled % U64(needed + spare)).astype(np.int64)
+        order = np.argsort(piece, kind="stable")
+        head = np.flatnonzero(np.diff(piece[order], prepend=-1))
+        content = np.zeros(needed + spare, U64)
+        content[piece[order][head]] = np.add.reduceat(mix(scrambled ^ SALT)[order], head)
+        listed = np.arange(needed + spare) if needed + spare - len(head) > spare else piece[order][head]
+        keys.append(mix(content[listed] + mix(listed.astype(U64) + U64(low << 40))))
+    return np.concatenate(keys)
+
+
+def meetings(key: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(order by key and row, which come first of their key in it, pairs of a row and the least of one of its keys)."""
+    order = np.lexsort([row, key])
+    key, row = key[order], row[order]
+    head = np.ones(len(key), bool)
+    head[1:] = key[1:] != key[:-1]
+    pivot = row[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))] if len(key) else row
+    return order, head, np.unique(np.stack([row, pivot], 1)[row != pivot], axis=0).reshape(-1, 2)
+
+
 class PartSets:
     """The sets of a part's texts, equal ones once: `rep` of each row is the first row with its set (-1 without words)."""
 
@@ -228,6 +278,51 @@ def _visits(t: float):
     return run
 
 
+def _connected(met: DataFrame) -> Table:
+    """(node, component) of the nodes of (kind, x, y): kind 1 are two nodes that meet, kind 2 a key and a node that lists it."""
+    lists = met.filter("kind = 2").select(F.col("x").alias("key"), F.col("y").alias("node"))
+    pivots = lists.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("times")).filter("times > 1")
+    across = lists.join(pivots, "key").filter("node != pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
+    return components(met.filter("kind = 1").select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(across))
+
+
+def _with_chunks(members: DataFrame, group: str, size: Column) -> DataFrame:
+    """Adds the number of chunks that the sets of each group fill."""
+    return members.join(members.groupBy(group).agg(F.ceil(F.sum(size) / CHUNK_BYTES).cast("int").alias("chunks")), group)
+
+
+def _split(sets: Table, t: float) -> list[Table]:
+    """Tables of sets (grp, node, chunks, items): the sets themselves, and groups of several chunks in a table split by equal pieces in the next one; a set that meets none goes."""
+
+    def lists(seed: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                group, node = (batch.column(i).to_numpy() for i in range(2))
+                made = [piece_keys(np.frombuffer(b.as_py(), U64), t, seed) for b in batch.column(2)]
+                row = np.repeat(np.arange(len(made)), [len(k) for k in made])
+                key = mix(np.concatenate([np.zeros(0, U64), *made]) ^ mix(group.view(U64))[row])
+                order, head, local = meetings(key, row)
+                kind = np.repeat(np.array([1, 2], np.int8), [len(local), int(head.sum())])
+                x = np.concatenate([node[local[:, 0]], key[order][head].view(np.int64)])
+                y = np.concatenate([node[local[:, 1]], node[row[order][head]]])
+                yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(x), pa.array(y)], names=["kind", "x", "y"])
+
+        return run
+
+    tables = [sets]
+    for seed in range(SPLITS):
+        large = tables[-1].df.filter("chunks > 1")
+        if large.isEmpty():
+            break
+        met = Table(large.select("grp", "node", "items").mapInArrow(lists(seed), "kind byte, x long, y long"), "met")
+        groups = _connected(met.df)
+        parted = large.select("node", "items").join(groups.df.select("node", F.col("component").alias("grp")), "node")
+        tables.append(Table(_with_chunks(parted, "grp", F.length("items")).select(*sets.schema.names), "sets"))
+        met.drop()
+        groups.drop()
+    return tables
+
+
 def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: id, n_shingles (distinct shingles) and component_id, the smallest id reachable by links, itself included.
 
@@ -253,12 +348,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8,
                 size = np.array([len(s) for s in made.sets], np.int64)
                 rows = np.arange(len(size))
                 key, row, beyond = made.lists(light, t, got.as_py(), bits)
-                order = np.lexsort([row, key])
+                order, head, local = meetings(key, row)
                 key, row, beyond = key[order], row[order], beyond[order]
-                head = np.ones(len(key), bool)
-                head[1:] = key[1:] != key[:-1]
-                pivot = row[np.maximum.accumulate(np.where(head, np.arange(len(key)), 0))] if len(key) else row
-                local = np.unique(np.stack([row, pivot], 1)[row != pivot], axis=0).reshape(-1, 2)
                 outside = head & beyond
                 kind = np.repeat(np.array([0, 1, 2], np.int8), [len(rows), len(local), int(outside.sum())])
                 x = np.concatenate([base + rows, base + local[:, 0], key[outside].view(np.int64)])
@@ -268,17 +359,11 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8,
                 yield pa.RecordBatch.from_arrays([pa.array(kind), pa.array(x), pa.array(y), pa.array(n), named], names=["kind", "x", "y", "n", "id"])
 
     seen = Table(parts.df.join(found.df, "part", "left").select("part", "blob", "found").mapInArrow(meet, "kind byte, x long, y long, n long, id long"), "meet")
-    lists = seen.df.filter("kind = 2").select(F.col("x").alias("key"), F.col("y").alias("node"))
-    pivots = lists.groupBy("key").agg(F.min("node").alias("pivot"), F.count(F.lit(1)).alias("times")).filter("times > 1")
-    across = lists.join(pivots, "key").filter("node != pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v"))
-    inside = seen.df.filter("kind = 1").select(F.col("x").alias("u"), F.col("y").alias("v"))
-    groups = components(inside.unionByName(across))
+    groups = _connected(seen.df)
     release(docs.sparkSession)
 
     size_of = seen.df.filter("kind = 0 and x = y").select(F.col("x").alias("node"), "n")
-    members = groups.df.join(size_of, "node")
-    chunks = members.groupBy("component").agg(F.ceil(F.sum(F.col("n") * 8) / CHUNK_BYTES).cast("int").alias("chunks"))
-    wanted = Table(members.join(chunks, "component"), "wanted")
+    wanted = Table(_with_chunks(groups.df.join(size_of, "node"), "component", F.col("n") * 8), "wanted")
     tasks = max(1, -(-(wanted.df.agg(F.sum("n")).first()[0] or 0) * 8 // CHUNK_BYTES))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -291,11 +376,14 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8,
 
     picked = wanted.df.groupBy(F.shiftright("node", 20).alias("part")).agg(F.collect_list(F.struct(F.col("component").alias("grp"), F.col("node").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("row"), "chunks")).alias("rows"))
     sets = Table(parts.df.select("part", "blob").join(picked, "part").select("part", "blob", "rows").mapInArrow(fetch, "grp long, node long, chunks int, items binary"), "sets")
+    split = _split(sets, t)
+    large = split[-1].df.filter("chunks > 1")
+    sets = reduce(DataFrame.unionByName, [table.df.filter("chunks <= 1") for table in split]).unionByName(large)
 
     chunk = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("node"), F.col("chunks"))).otherwise(F.lit(0))
-    own = sets.df.withColumn("visitor", F.lit(False)).withColumn("chunk", chunk.cast("int"))
+    own = sets.withColumn("visitor", F.lit(False)).withColumn("chunk", chunk.cast("int"))
     to_all = lambda df: df.withColumn("visitor", F.lit(True)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    pivot = to_all(sets.df.filter("chunks > 1 and node = grp"))
+    pivot = to_all(large.filter("node = grp"))
     pivot = pivot.filter(pivot["chunk"] != F.pmod(F.xxhash64("node"), F.col("chunks")))  # in its own chunk it is no visitor
     task = F.when(F.col("chunks") > 1, F.struct(F.col("grp").alias("a"), F.col("chunk").alias("b"))).otherwise(F.struct(F.pmod(F.xxhash64("grp"), F.lit(tasks)).alias("a"), F.lit(-1).alias("b")))
     settled = Table(own.unionByName(pivot).withColumn("task", task).groupBy("task").applyInPandas(_settled_groups(t), "grp long, node long, label long, chunks int"), "settled")
@@ -304,7 +392,7 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8,
     if outside.isEmpty():
         label_of = settled.df.select("node", "label")
     else:
-        labelled = sets.df.filter("chunks > 1").join(settled.df.select("node", "label"), "node")
+        labelled = large.join(settled.df.select("node", "label"), "node")
         own = labelled.withColumn("visitor", F.lit(False)).withColumn("chunk", chunk.cast("int"))
         guests = to_all(labelled.filter("label != grp"))
         guests = guests.filter(guests["chunk"] != F.pmod(F.xxhash64("node"), F.col("chunks"))).unionByName(own.filter("label != grp").withColumn("visitor", F.lit(True)))
@@ -320,5 +408,6 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8,
     kind = docs.schema[id_col].dataType
     out = rows.join(named, "rep", "left").select(F.col("id").cast(kind).alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").cast(kind).alias("component_id"))
     parts.drop()
-    sets.drop()
+    for table in split:
+        table.drop()
     return out

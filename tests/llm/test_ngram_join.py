@@ -47,6 +47,39 @@ def test_groups_of_many_chunks(spark, monkeypatch):
     assert got(jaccard_components(docs, 3, 0.9)) == jaccard(rows, 3, 90)
 
 
+def test_large_groups_of_many_clusters(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CHUNK_BYTES", 8000)
+    rng = random.Random(11)
+    passages = [[f"p{k}_{i}" for i in range(40)] for k in range(3)]
+    rows = []
+    for _ in range(30):  # clusters that share passages, and so their rarest shingles, but don't link
+        base = [*rng.choice(passages), *(f"w{rng.randint(0, 400)}" for _ in range(rng.randint(5, 120)))]
+        for _ in range(rng.randint(1, 8)):
+            words = list(base)
+            for _ in range(rng.choice([0, 1, 1, 2])):
+                words[rng.randrange(len(words))] = f"n{rng.randint(0, 5)}"
+            rows.append((len(rows), " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    assert got(jaccard_components(docs, 3, 0.9)) == jaccard(rows, 3, 90)
+
+
+@pytest.mark.parametrize("t", [0.9, 0.8, 0.6, 0.95])
+def test_linked_sets_share_a_piece(t):
+    import numpy as np
+    from corvane.llm.ngram_join import piece_keys
+
+    rng = np.random.default_rng(7)
+    for n in [*range(1, 60), 100, 400, 3000]:
+        for _ in range(8):
+            a = np.unique(rng.integers(1, 1 << 62, n, dtype=np.uint64))
+            drop = rng.integers(0, int(n * (1 - t)) + 1)
+            b = np.unique(np.concatenate([a[drop:], rng.integers(1, 1 << 62, rng.integers(0, drop + 2), dtype=np.uint64)]))
+            common = len(np.intersect1d(a, b))
+            if len(b) and common >= t * (len(a) + len(b) - common) - 1e-9:
+                for seed in range(3):
+                    assert np.intersect1d(piece_keys(a, t, seed), piece_keys(b, t, seed)).size, (n, drop)
+
+
 @pytest.mark.parametrize("t", [0.9, 0.8, 0.6])
 def test_linked_sets_share_a_list(t):
     import numpy as np
