@@ -312,14 +312,14 @@ def _split(sets: Table, t: float) -> list[Table]:
     tables = [sets]
     for seed in range(SPLITS):
         large = tables[-1].df.filter("chunks > 1")
-        if large.isEmpty():
-            break
         met = Table(large.select("grp", "node", "items").mapInArrow(lists(seed), "kind byte, x long, y long"), "met")
         groups = _connected(met.df)
         parted = large.select("node", "items").join(groups.df.select("node", F.col("component").alias("grp")), "node")
         tables.append(Table(_with_chunks(parted, "grp", F.length("items")).select(*sets.schema.names), "sets"))
         met.drop()
         groups.drop()
+        if tables[-1].df.filter("chunks > 1").isEmpty():
+            break
     return tables
 
 
@@ -364,7 +364,8 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8,
 
     size_of = seen.df.filter("kind = 0 and x = y").select(F.col("x").alias("node"), "n")
     wanted = Table(_with_chunks(groups.df.join(size_of, "node"), "component", F.col("n") * 8), "wanted")
-    tasks = max(1, -(-(wanted.df.agg(F.sum("n")).first()[0] or 0) * 8 // CHUNK_BYTES))
+    shingles, most_chunks = wanted.df.agg(F.sum("n"), F.max("chunks")).first()
+    tasks = max(1, -(-(shingles or 0) * 8 // CHUNK_BYTES))
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -376,20 +377,21 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8,
 
     picked = wanted.df.groupBy(F.shiftright("node", 20).alias("part")).agg(F.collect_list(F.struct(F.col("component").alias("grp"), F.col("node").bitwiseAND(F.lit((1 << 20) - 1)).cast("int").alias("row"), "chunks")).alias("rows"))
     sets = Table(parts.df.select("part", "blob").join(picked, "part").select("part", "blob", "rows").mapInArrow(fetch, "grp long, node long, chunks int, items binary"), "sets")
-    split = _split(sets, t)
+    split = _split(sets, t) if (most_chunks or 0) > 1 else [sets]
     large = split[-1].df.filter("chunks > 1")
-    sets = reduce(DataFrame.unionByName, [table.df.filter("chunks <= 1") for table in split]).unionByName(large)
+    sets = reduce(DataFrame.unionByName, [table.df.filter("chunks <= 1") for table in split[:-1]], split[-1].df)
 
     chunk = F.when(F.col("chunks") > 1, F.pmod(F.xxhash64("node"), F.col("chunks"))).otherwise(F.lit(0))
     own = sets.withColumn("visitor", F.lit(False)).withColumn("chunk", chunk.cast("int"))
     to_all = lambda df: df.withColumn("visitor", F.lit(True)).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    pivot = to_all(large.filter("node = grp"))
-    pivot = pivot.filter(pivot["chunk"] != F.pmod(F.xxhash64("node"), F.col("chunks")))  # in its own chunk it is no visitor
+    if len(split) > 1:
+        pivot = to_all(large.filter("node = grp"))
+        own = own.unionByName(pivot.filter(pivot["chunk"] != F.pmod(F.xxhash64("node"), F.col("chunks"))))  # in its own chunk it is no visitor
     task = F.when(F.col("chunks") > 1, F.struct(F.col("grp").alias("a"), F.col("chunk").alias("b"))).otherwise(F.struct(F.pmod(F.xxhash64("grp"), F.lit(tasks)).alias("a"), F.lit(-1).alias("b")))
-    settled = Table(own.unionByName(pivot).withColumn("task", task).groupBy("task").applyInPandas(_settled_groups(t), "grp long, node long, label long, chunks int"), "settled")
+    settled = Table(own.withColumn("task", task).groupBy("task").applyInPandas(_settled_groups(t), "grp long, node long, label long, chunks int"), "settled")
 
     outside = settled.df.filter("chunks > 1 and label != grp")
-    if outside.isEmpty():
+    if len(split) == 1 or outside.isEmpty():
         label_of = settled.df.select("node", "label")
     else:
         labelled = large.join(settled.df.select("node", "label"), "node")
