@@ -19,7 +19,7 @@ differ in at most d shingles, so of more than d parts into which a hash deals th
 shingles, one part or more is equal in both. Several hashes in turn connect ever fewer
 sets that don't link. What still has several chunks carries one pivot set to every
 chunk, and afterwards the sets that aren't linked to the pivot, so no pair across
-chunks is left out.
+chunks is left out. A task holds a chunk; visiting sets pass by in runs of its size.
 """
 
 from __future__ import annotations
@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from corvane.llm.components import components
 from corvane.llm.exchange import bucket_bits, many_owners, pack_parts, read_found, shared_keys, unpack
-from corvane.llm.shared import Table, release
+from corvane.llm.shared import Table, arrow_batches, release
 from corvane.llm.textbuf import U64, blocks, mix, ragged, shingle_sets
 
 CHUNK_BYTES = 6 << 20
@@ -265,15 +265,39 @@ def _settled_groups(t: float):
     return run
 
 
-def _visits(t: float):
-    """Round two: links (u, v) of labels between a chunk's sets and the visiting ones."""
+def _visits(t: float, most: int):
+    """Round two: links (u, v) of labels between a chunk's sets and the visiting ones.
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        names, label = np.unique(pdf["label"].to_numpy(), return_inverse=True)
-        after = settle([np.frombuffer(b, U64) for b in pdf["items"]], t, np.flatnonzero(pdf["visitor"].to_numpy()), label)
-        joined = np.unique(np.stack([names[label], names[after]], 1), axis=0)
+    Rows (grp, chunk, visitor, label, items) come by group and chunk, a chunk's own sets
+    first; those are held, and visitors pass by in runs of `most` bytes.
+    """
+
+    def links(label: list[int], items: list[bytes], own: int) -> pa.RecordBatch:
+        names, known = np.unique(np.array(label), return_inverse=True)
+        after = settle([np.frombuffer(b, U64) for b in items], t, np.arange(own, len(items)), known)
+        joined = np.unique(np.stack([names[known], names[after]], 1), axis=0)
         joined = joined[joined[:, 0] != joined[:, 1]]
-        return pd.DataFrame({"u": joined[:, 0], "v": joined[:, 1]})
+        return pa.RecordBatch.from_arrays([pa.array(joined[:, 0]), pa.array(joined[:, 1])], names=["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, own, held = None, 0, 0
+        label: list[int] = []
+        items: list[bytes] = []
+        for batch in batches:
+            for grp, chunk, visitor, of, one in zip(*(batch.column(i) for i in range(5)), strict=True):
+                if (here := (grp.as_py(), chunk.as_py())) != at or held >= most:
+                    if len(items) > own:
+                        yield links(label, items, own)
+                    at, own, held = here, own if here == at else 0, 0
+                    del label[own:], items[own:]
+                label.append(of.as_py())
+                items.append(one.as_py())
+                if visitor.as_py():
+                    held += len(items[-1])
+                else:
+                    own += 1
+        if len(items) > own:
+            yield links(label, items, own)
 
     return run
 
@@ -312,7 +336,8 @@ def _split(sets: Table, t: float) -> list[Table]:
     tables = [sets]
     for seed in range(SPLITS):
         large = tables[-1].df.filter("chunks > 1")
-        met = Table(large.select("grp", "node", "items").mapInArrow(lists(seed), "kind byte, x long, y long"), "met")
+        with arrow_batches(large.sparkSession, CHUNK_BYTES):
+            met = Table(large.select("grp", "node", "items").mapInArrow(lists(seed), "kind byte, x long, y long"), "met")
         groups = _connected(met.df)
         parted = large.select("node", "items").join(groups.df.select("node", F.col("component").alias("grp")), "node")
         tables.append(Table(_with_chunks(parted, "grp", F.length("items")).select(*sets.schema.names), "sets"))
@@ -397,9 +422,10 @@ def jaccard_components(docs: DataFrame, words: int = 5, threshold: float = 0.8,
         labelled = large.join(settled.df.select("node", "label"), "node")
         own = labelled.withColumn("visitor", F.lit(False)).withColumn("chunk", chunk.cast("int"))
         guests = to_all(labelled.filter("label != grp"))
-        guests = guests.filter(guests["chunk"] != F.pmod(F.xxhash64("node"), F.col("chunks"))).unionByName(own.filter("label != grp").withColumn("visitor", F.lit(True)))
-        rows = own.filter("label = grp").unionByName(guests)
-        joined = components(rows.groupBy("grp", "chunk").applyInPandas(_visits(t), "u long, v long"))
+        guests = guests.filter(guests["chunk"] != F.pmod(F.xxhash64("node"), F.col("chunks")))  # round one settled those of its own chunk
+        rows = own.unionByName(guests).select("grp", "chunk", "visitor", "label", "items")
+        with arrow_batches(docs.sparkSession, CHUNK_BYTES):
+            joined = components(rows.repartition("grp", "chunk").sortWithinPartitions("grp", "chunk", "visitor").mapInArrow(_visits(t, CHUNK_BYTES), "u long, v long"))
         label_of = settled.df.join(joined.df.select(F.col("node").alias("label"), "component"), "label", "left").select("node", F.coalesce("component", "label").alias("label"))
 
     rows = seen.df.filter("kind = 0").select("id", "n", "x", F.when(F.col("y") >= 0, F.col("y")).alias("rep"))

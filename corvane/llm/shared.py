@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -70,3 +72,15 @@ def release(spark: SparkSession) -> None:
     """Let the driver drop what it no longer refers to, so that Spark's cleaner deletes those shuffles' files now."""
     gc.collect()
     spark._jvm.System.gc()
+
+
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Jobs that run in this block hand Python batches of at most so many bytes (or one row)."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.unset(key) if before is None else spark.conf.set(key, before)

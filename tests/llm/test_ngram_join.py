@@ -63,6 +63,34 @@ def test_large_groups_of_many_clusters(spark, monkeypatch):
     assert got(jaccard_components(docs, 3, 0.9)) == jaccard(rows, 3, 90)
 
 
+def test_visiting_sets_pass_by_in_bounded_runs(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    some = lambda: rng.integers(1, 1 << 62, 50, dtype=np.uint64)
+    rows = []
+    for grp, chunk in ((1, 0), (1, 1), (2, 0)):
+        own = [np.unique(some()) for _ in range(4)]
+        guests = [np.unique(own[i % 4]) if i % 5 == 0 else np.unique(some()) for i in range(40)]
+        rows += [(grp, chunk, False, grp * 1000 + chunk * 100 + i, s.tobytes()) for i, s in enumerate(own)]
+        rows += [(grp, chunk, True, 10_000 + len(rows) + i, s.tobytes()) for i, s in enumerate(guests)]
+    held = []
+    whole = ngram_join.settle
+    monkeypatch.setattr(ngram_join, "settle", lambda sets, *a: held.append(sum(len(s) * 8 for s in sets)) or whole(sets, *a))
+    names = ["grp", "chunk", "visitor", "label", "items"]
+    batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[i : i + 7], strict=True)], names=names) for i in range(0, len(rows), 7)]
+    found = {tuple(sorted(p)) for b in ngram_join._visits(0.9, 1500)(iter(batches)) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)}
+    by_set = {}
+    for grp, chunk, _, label, items in rows:
+        by_set.setdefault((grp, chunk, items), set()).add(label)
+    together = {label: min(s) for s in by_set.values() for label in s}
+    assert found and all(together[u] == together[v] for u, v in found)
+    linked = {x for p in found for x in p}
+    assert linked == {label for s in by_set.values() if len(s) > 1 for label in s}
+    assert max(held) <= 4 * 400 + 1500 + 400 and len(held) == 30
+
+
 @pytest.mark.parametrize("t", [0.9, 0.8, 0.6, 0.95])
 def test_linked_sets_share_a_piece(t):
     import numpy as np
