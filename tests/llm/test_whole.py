@@ -6,7 +6,7 @@ import re
 from brute import flow_by_single_paths, shares
 from corvane.llm.fingerprint import fingerprint_documents
 from corvane.llm.mixing import min_cost_flow, mix_sources, words_given
-from corvane.llm.secret_scan import AFTER, BEFORE, _joined, base_spans, corpus_findings, scan_secrets, trained, windows
+from corvane.llm.secret_scan import AFTER, BEFORE, SAMPLE, _joined, all_findings, base_spans, corpus_findings, learned, scan_secrets, trained, windows
 
 KEY = "a8Kd93kLm2Zq81nB7xYp05RtVwQe4TgHj2Lc6Nf9"
 PATH = "the/north/station/garden/window/morning/river/paper/letter/summer"
@@ -69,6 +69,22 @@ def test_network_carries_the_learned_spans(spark, monkeypatch):
     assert all(r.n_learned == 0 for r in scan_secrets(docs, network=network).collect())
 
 
+def test_secrets_are_learned_from_every_finding(spark):
+    rng = random.Random(8)
+    texts = [f"door {i} has token={''.join(rng.choices('0123456789abcdefghjkXYZ', k=32))} in it" for i in range(SAMPLE + 300)] + ["old token=" + "a1B" * 700 + " end"]
+    docs = spark.createDataFrame(list(enumerate([*texts, texts[0], None, ""])), "doc_id long, text string")
+    one, two = all_findings(docs), all_findings(docs.repartition(7))
+    own = one.df.filter("kind = 0")
+    assert own.select("key").distinct().count() == len(texts) > SAMPLE and own.filter("part > 0").count() > 0
+    assert one.df.filter("kind = 1").select("key").distinct().count() > SAMPLE
+    assert 0.1 < own.filter("held").count() / own.count() < 0.3
+    start = trained()
+    network, again = learned(one, start), learned(two, start)
+    assert network.threshold == again.threshold and all((a == b).all() for a, b in zip(network.p, again.p, strict=True))
+    assert any((a != b).any() for a, b in zip(network.p, start.p, strict=True))
+    assert scan_secrets(docs, network=network).filter("n_learned > 0").count() >= 0.96 * len(texts)
+
+
 def test_edits_are_located_in_paragraphs_and_pieces(spark):
     line = "".join(f"Sentence number {n} of it. " for n in range(4)) + "\n"
     one = "".join(f"{k} {line}" for k in range(7))
