@@ -194,6 +194,8 @@ EQUAL = (
     "minContains", "maxContains", "definitions", "$defs", "contentEncoding", "contentMediaType", "contentSchema", "allOf", "anyOf", "oneOf", "not",
 )
 FIRST = ("$schema", "$id", "$comment", "$anchor", "$dynamicAnchor", "$vocabulary", "title", "description", "default", "examples")
+#: Keywords that are merged by their members.
+NESTED = frozenset(("type", "items", "properties", "additionalProperties"))
 #: Marks a node whose types didn't mix, so that the fold stays associative; removed at the end.
 MIXED = "x-corvane-mixed"
 
@@ -248,6 +250,26 @@ def _merge_words(a: dict, b: dict, out: dict) -> None:
             out["enum"] = [every[k] for k in sorted(every)]
 
 
+def _merge_shared(a: dict, b: dict, out: dict) -> None:
+    """Keywords that are kept only where both sides have them: looser bounds, common names, what is equal."""
+    for keys, pick in ((LOWER, min), (UPPER, max)):
+        for k in keys:
+            if k in a and k in b:
+                out[k] = pick(a[k], b[k])
+    if a.get("uniqueItems") and b.get("uniqueItems"):
+        out["uniqueItems"] = True
+    if "required" in a and "required" in b and (common := sorted(set(a["required"]) & set(b["required"]))):
+        out["required"] = common
+    for k in EQUAL:
+        if k in a and k in b and equal(_jsonable(a[k]), _jsonable(b[k])):
+            out[k] = a[k]
+    if "$ref" in a and a.get("$ref") == b.get("$ref") and all(equal(_jsonable(a.get(k, {})), _jsonable(b.get(k, {}))) for k in ("definitions", "$defs")):
+        out["$ref"] = a["$ref"]
+    condition = [{k: s[k] for k in ("if", "then", "else") if k in s} for s in (a, b)]
+    if condition[0] and equal(_jsonable(condition[0]), _jsonable(condition[1])):
+        out.update(condition[0])
+
+
 def merge(a: Any, b: Any) -> Any:
     """A schema that accepts what either accepts: bounds loosen, required intersects, properties and enums unite, the rest stays where equal."""
     return _strip(_merge(a, b))
@@ -326,23 +348,8 @@ def _merge(a: Any, b: Any) -> Any:
     _merge_words(a, b, out)
     if out.get(MIXED):  # of values of types that don't mix nothing more can be said
         return out
-    for keys, pick in ((LOWER, min), (UPPER, max)):
-        for k in keys:
-            if k in a and k in b:
-                out[k] = pick(a[k], b[k])
-    if a.get("uniqueItems") and b.get("uniqueItems"):
-        out["uniqueItems"] = True
-    if "required" in a and "required" in b and (common := sorted(set(a["required"]) & set(b["required"]))):
-        out["required"] = common
-    for k in EQUAL:
-        if k in a and k in b and equal(_jsonable(a[k]), _jsonable(b[k])):
-            out[k] = a[k]
-    same_definitions = all(equal(_jsonable(a.get(k, {})), _jsonable(b.get(k, {}))) for k in ("definitions", "$defs"))
-    if "$ref" in a and a.get("$ref") == b.get("$ref") and same_definitions:
-        out["$ref"] = a["$ref"]
-    condition = [{k: s[k] for k in ("if", "then", "else") if k in s} for s in (a, b)]
-    if condition[0] and equal(_jsonable(condition[0]), _jsonable(condition[1])):
-        out.update(condition[0])
+    if not a.keys() & b.keys() <= NESTED:
+        _merge_shared(a, b, out)
     # a side without a type that limits values takes any object and any array: what only the other says of them isn't grafted onto it
     loose = ["type" not in s and constrains(s) for s in (a, b)]
     if isinstance(a.get("items"), list) or isinstance(b.get("items"), list):

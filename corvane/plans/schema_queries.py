@@ -20,15 +20,22 @@ from corvane.plans.refs import chain, inline, resolve_uri, schema_map, strip_pre
 from corvane.sources.documents import load_yaml, rows_as_json
 
 
-def mapped(name: str, source: str, key: str, text: Callable[[], Column], function: Callable[[str], str], sql: str) -> None:
-    """A query of each row's key and what a function of one text makes of the row's text, on the executors."""
+def mapped(name: str, source: str, key: str, text: Callable[[], Column], function: Callable[[str], str], sql: str, spread: bool = False) -> None:
+    """A query of each row's key and what a function of one text makes of the row's text, on the executors.
+
+    `spread` deals the texts to all tasks first, for functions that cost far more than
+    that: a file of few row groups is read by few tasks.
+    """
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         @F.pandas_udf("string")
         def out(texts: pd.Series) -> pd.Series:
             return texts.map(function)
 
-        return table(spark, sf_dir, source).select(key, out(text()).alias("out"))
+        texts = table(spark, sf_dir, source).select(key, text().alias("text"))
+        if spread:
+            texts = texts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+        return texts.select(key, out("text").alias("out"))
 
     query(f"SELECT {key}, {sql} AS out FROM {source}", name)(run)
 
@@ -92,7 +99,7 @@ def _yaml(**options) -> Callable[[str], str]:
 def commented(name: str, text: Callable[[], Column], members: str, extra: str = "", **options) -> None:
     """A query of the schemas of YAML texts; the SQL of their members, in order of their names."""
     closed = "false" if options.get("strict") else "true"
-    mapped(name, "customer", "c_custkey", text, _yaml(**options), f"""'{{"additionalProperties":{closed},"properties":{{' || {members} || '}}{extra},"type":"object"}}'""")
+    mapped(name, "customer", "c_custkey", text, _yaml(**options), f"""'{{"additionalProperties":{closed},"properties":{{' || {members} || '}}{extra},"type":"object"}}'""", spread=True)
 
 
 commented("yaml_types_and_defaults", lambda: _text("size: ", _C(), "\nratio: ", _C(), ".5\nname: ", _NAME(), "\nflag: true\nnothing:\n"),
@@ -113,7 +120,7 @@ commented("yaml_items", lambda: _text("a: [", _C(), ", null]\nb:\n- k: 1\n  m: "
 commented("yaml_merged_properties", lambda: _text("# @schema\n# mergeProperties: true\n# @schema\nm:\n  ", _NAME(), ": 1\n  other: 2.5\n"), """'"m":{"additionalProperties":{"type":"number"},"type":"object"}'""", use=["block"])
 commented("yaml_root_comments", lambda: _text("# @schema.root\n# title: ", _SEGMENT(), "\n# @schema.root\nx: ", _C(), "\n"), """'"x":{"type":"integer"}'""", ""","title":"' || c_mktsegment || '\"""")
 commented("yaml_documents_merged", lambda: _text("a: 1\nb: ", _C(), "\n---\na: x\nb: 1.5\n---\nb: 2\nc: ", _NAME(), "\n"), """'"a":{},"b":{"type":"number"},"c":{"type":"string"}'""")
-mapped("yaml_values", "customer", "c_custkey", lambda: _text("{n: ", _C(), ", f: 1e2, s: 'a: b', l: [yes, 0x10, ~]}\n---\n- ", _NAME(), "\n"), lambda t: canonical_json(load_yaml(t)), """'[{"f":100,"l":["yes",16,null],"n":' || c_custkey || ',"s":"a: b"},["' || c_name || '"]]'""")
+mapped("yaml_values", "customer", "c_custkey", lambda: _text("{n: ", _C(), ", f: 1e2, s: 'a: b', l: [yes, 0x10, ~]}\n---\n- ", _NAME(), "\n"), lambda t: canonical_json(load_yaml(t)), """'[{"f":100,"l":["yes",16,null],"n":' || c_custkey || ',"s":"a: b"},["' || c_name || '"]]'""", spread=True)
 
 
 # -- merges ---------------------------------------------------------------------------------
