@@ -2,7 +2,9 @@
 
 import pytest
 import yaml
-from corvane.operators.annotate import yaml_schema
+from corvane.operators import annotate
+from corvane.operators.annotate import Node, yaml_schema
+from corvane.plans.model import exact
 from corvane.plans.queries import QUERIES
 from corvane.sources import documents
 
@@ -39,3 +41,12 @@ def test_documents_merged(spark, monkeypatch):
     if yaml.__with_libyaml__:
         monkeypatch.setattr("yaml.scanner.Scanner.fetch_more_tokens", None)
         assert yaml_schema("a: 1\n---\na: x\nb: 1.5\n---\nb: 2\n")["properties"] == {"a": {}, "b": {"type": "number"}}
+
+
+def test_inline_comments(spark, monkeypatch):
+    assert in_all_tasks(spark, "yaml_inline_comments")
+    for word in ["x", "1", "010", "0x1F", "0o17", "1.5", "1e3", "1.", "true", "True", "no", "null", "Null", "2001-01-01", "a/b.c-d", "_", "1_000"]:
+        assert repr(annotate.scalar(word)) == repr(exact(yaml.load(word, Loader=documents._loader())))  # noqa: S506  a SafeLoader
+    monkeypatch.setattr(yaml, "load", None)  # words need no parser
+    monkeypatch.setattr(annotate, "compose", None, raising=False)
+    assert annotate.inline_dialect(Node("a", [], [], "# @schema type:array;nullable;itemRef:#/x;maxItems:5;const:null;unknown:1"), []).schema == {"type": ["array", "null"], "items": {"$ref": "#/x"}, "maxItems": 5, "const": None}
