@@ -6,6 +6,7 @@ import json
 import math
 from collections.abc import Callable
 from decimal import Decimal
+from json.encoder import encode_basestring
 from typing import Any
 
 from pyspark.sql import Column
@@ -89,6 +90,8 @@ def equal(a: Any, b: Any) -> bool:
 
 def number_text(x: Any) -> str:
     """The shortest plain notation of a number: 1 for 1.0, 100 for 1e2, 0.1 for 0.10."""
+    if type(x) is int and -(10**18) < x < 10**18:
+        return str(x)
     sign, digits, exponent = Decimal(exact(x)).as_tuple()
     text = "".join(map(str, digits)).lstrip("0")
     short = text.rstrip("0")
@@ -105,8 +108,10 @@ def number_text(x: Any) -> str:
 
 def canonical_json(x: Any) -> str:
     """JSON text of a value with sorted keys and numbers in shortest plain notation."""
+    if type(x) is str:
+        return encode_basestring(x)
     if isinstance(x, dict):
-        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical_json(x[k])}" for k in sorted(x)) + "}"
+        return "{" + ",".join([f"{encode_basestring(k) if type(k) is str else json.dumps(k, ensure_ascii=False)}:{canonical_json(x[k])}" for k in sorted(x)]) + "}"
     if isinstance(x, list):
         return "[" + ",".join(map(canonical_json, x)) + "]"
     if is_number(x):

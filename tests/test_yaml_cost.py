@@ -1,7 +1,11 @@
 """YAML queries: a text is read once, by libyaml where that agrees with the plain parser, and in all tasks."""
 
+import json
+from decimal import Decimal
+
 import pytest
 import yaml
+from corvane.functions.numbers import canonical_json
 from corvane.operators import annotate
 from corvane.operators.annotate import Node, yaml_schema
 from corvane.plans.model import exact
@@ -50,3 +54,27 @@ def test_inline_comments(spark, monkeypatch):
     monkeypatch.setattr(yaml, "load", None)  # words need no parser
     monkeypatch.setattr(annotate, "compose", None, raising=False)
     assert annotate.inline_dialect(Node("a", [], [], "# @schema type:array;nullable;itemRef:#/x;maxItems:5;const:null;unknown:1"), []).schema == {"type": ["array", "null"], "items": {"$ref": "#/x"}, "maxItems": 5, "const": None}
+
+
+class Counted:
+    """A pattern that counts the lines it is matched to."""
+
+    def __init__(self, pattern):
+        self.pattern, self.lines = pattern, 0
+
+    def match(self, line):
+        self.lines += 1
+        return self.pattern.match(line)
+
+
+def test_items(spark, monkeypatch):
+    assert in_all_tasks(spark, "yaml_items")
+    monkeypatch.setattr(annotate, "_PARAM", counted := Counted(annotate._PARAM))
+    items = "".join(f"- k{i}: {i}\n" for i in range(40))
+    schema = yaml_schema(f"## @param a.k3 [string] First\n## @param a.k3 Second\n## @skip a.k4\n# a.k5 -- Far\n# away\na:\n{items}b: 1\n")
+    members = schema["properties"]["a"]["items"]["properties"]
+    assert members["k3"] == {"type": "string", "description": "First"} and members["k5"] == {"type": "integer", "description": "Far away"} and "k4" not in members
+    assert counted.lines <= 46  # each line once, not once for each member
+    for value in ["a\"\u00e9\u2028\n", 10**30, -(10**18), 10**18 - 1, -7, 0, True, None, {"1": ["x"]}]:
+        assert json.loads(canonical_json(value)) == value
+    assert canonical_json({"b": 1200, "a": [-5, Decimal("1.50")]}) == '{"a":[-5,1.5],"b":1200}'
